@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, filters, ranking
+from ..operators import aggregates, dedup, filters, pairing, ranking
 from ..operators.scoring import SUB_SCORES, score_deals, with_pricing
+from ..session import cut_lineage
 from . import oracle as sql
 from .sample import deals
 
@@ -238,9 +239,10 @@ _TOP = (
     sql.with_deals(
         "SELECT count(*) AS total_deals, count_if(youth_flag) AS youth_deals, "
         "count_if(in_stock) AS in_stock_deals, count_if(coupon_code <> '') AS coupon_deals, "
-        "round(avg(discount_pct), 1) AS avg_discount, "
-        "round(CAST(sum(price) AS DOUBLE) / count(*), 2) AS avg_price, "
-        f"{_TOP.format(c='sport')} AS top_sports, {_TOP.format(c='brand')} AS top_brands, "
+        + sql.round_half_even("avg(discount_pct)", 1)
+        + " AS avg_discount, "
+        + sql.round_half_even("CAST(sum(price) AS DOUBLE) / count(*)", 2)
+        + f" AS avg_price, {_TOP.format(c='sport')} AS top_sports, {_TOP.format(c='brand')} AS top_brands, "
         f"{_TOP.format(c='retailer')} AS top_retailers FROM priced"
     ),
 )
@@ -285,8 +287,9 @@ query(
 @query(
     "ranking_summary",
     sql.with_scored(
-        "SELECT count(*) AS n, min(score) AS min_score, round(avg(score), 1) AS avg_score, "
-        "max(score) AS max_score, (SELECT string_agg(line, '|' ORDER BY score DESC, seq) FROM "
+        "SELECT count(*) AS n, min(score) AS min_score, "
+        + sql.round_half_even("avg(score)", 1)
+        + " AS avg_score, max(score) AS max_score, (SELECT string_agg(line, '|' ORDER BY score DESC, seq) FROM "
         "(SELECT score, seq, format('{}... (Score: {:.1f}, {:.0f}% off)', substr(title, 1, 50), "
         f"score, coalesce(discount_pct, 0)) AS line FROM scored {_BEST} LIMIT 5)) AS top_lines "
         "FROM scored"
@@ -323,3 +326,128 @@ def stats_report(spark, d):
             "last_updated": F.col("last_updated").cast("date").cast("string"),
         }
     )
+
+
+# --- duplicates -------------------------------------------------------------
+
+
+for _rule, _job in {
+    "exact": pairing.exact_pairs,
+    "gtin": pairing.gtin_pairs,
+    "mpn": pairing.mpn_pairs,
+    "sku": pairing.sku_pairs,
+    "fuzzy": pairing.fuzzy_pairs,
+}.items():
+    query(f"pairs_{_rule}", sql.pairs_sql(_rule))(
+        lambda spark, d, job=_job: job(deals(spark, d))
+    )
+
+query("duplicate_pairs", f"WITH {sql.ALL_PAIRS} SELECT * FROM pairs")(
+    lambda spark, d: pairing.duplicate_pairs(deals(spark, d))
+)
+
+_GROUPS: dict[tuple[str, str], DataFrame] = {}
+
+
+def _groups(spark, d):
+    """Groups of the sample, computed once per application and kept as a checkpoint."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _GROUPS:
+        _GROUPS[key] = cut_lineage(dedup.duplicate_groups(deals(spark, d)))
+    return _GROUPS[key]
+
+
+def _scored_groups(spark, d):
+    return score_deals(deals(spark, d)), _groups(spark, d)
+
+
+@query("duplicate_groups", sql.with_groups("SELECT seq, seed_seq FROM groups"))
+def duplicate_groups(spark, d):
+    return _groups(spark, d)
+
+
+@query("merge_groups", sql.with_groups(sql.MERGED))
+def merge_groups(spark, d):
+    merged = dedup.merge_groups(*_scored_groups(spark, d))
+    return merged.select(
+        "seed_seq", "id", "group_size", F.col("price").cast("double").alias("price"),
+        F.col("msrp").cast("double").alias("msrp"), F.array_join("sizes", ",").alias("sizes"),
+        "coupon_code", "shipping_notes", "in_stock", "stock_level",
+        F.col("last_seen").cast("date").cast("string").alias("last_seen"),
+        F.col("first_seen").cast("date").cast("string").alias("first_seen"),
+        F.array_join("alternate_retailers", ",").alias("alternate_retailers"),
+    )
+
+
+@query(
+    "alternate_offers",
+    sql.with_groups(
+        f"{sql.BASES} SELECT m.seed_seq, base_seq, m.seq, m.retailer, m.score, group_size "
+        "FROM members m JOIN bases b ON m.seed_seq = b.seed_seq "
+        "WHERE m.seq <> base_seq AND m.retailer <> base_retailer"
+    ),
+)
+def alternate_offers(spark, d):
+    return dedup.alternate_offers(*_scored_groups(spark, d))
+
+
+@query(
+    "mark_duplicates",
+    sql.with_groups(
+        f"{sql.BASES} SELECT m.seq, m.id, m.seq <> base_seq AS is_duplicate, "
+        "CASE WHEN m.seq <> base_seq THEN base_id END AS canonical_deal_id "
+        "FROM members m JOIN bases b ON m.seed_seq = b.seed_seq"
+    ),
+)
+def mark_duplicates(spark, d):
+    marked = dedup.mark_duplicates(*_scored_groups(spark, d))
+    return marked.select("seq", "id", "is_duplicate", "canonical_deal_id")
+
+
+query(
+    "dedup_stats",
+    sql.with_groups(
+        "SELECT CAST(sum(n) AS BIGINT) AS total_deals, count(*) AS canonical_deals, "
+        "count_if(n > 1) AS duplicate_groups, CAST(sum(n - 1) AS BIGINT) AS total_duplicates, "
+        + sql.round_half_even("CAST(sum(n - 1) AS DOUBLE) / CAST(sum(n) AS DOUBLE) * 100", 1)
+        + " AS deduplication_rate "
+        "FROM (SELECT count(*) AS n FROM groups GROUP BY seed_seq)"
+    ),
+)(lambda spark, d: dedup.dedup_stats(_groups(spark, d)))
+query(
+    "duplicate_count",
+    sql.with_groups(
+        "SELECT count(*) - count(DISTINCT seed_seq) AS total_duplicates FROM groups"
+    ),
+)(lambda spark, d: dedup.duplicate_count(_groups(spark, d)))
+
+_OVERLAP_SQL = (
+    "SELECT x.{c} AS {c}, coalesce(string_agg(DISTINCT y.{c}, ',' ORDER BY y.{c}), '') AS others "
+    "FROM named x LEFT JOIN named y ON x.seed_seq = y.seed_seq AND x.{c} <> y.{c} GROUP BY 1"
+)
+
+
+@query(
+    "retailer_overlap",
+    sql.with_groups(
+        ", named AS (SELECT DISTINCT seed_seq, retailer FROM (SELECT seed_seq, retailer, count(*) "
+        "OVER (PARTITION BY seed_seq) AS n FROM groups JOIN deals USING (seq)) WHERE n > 1) "
+        + _OVERLAP_SQL.format(c="retailer")
+    ),
+)
+def retailer_overlap(spark, d):
+    found = dedup.retailer_overlap(deals(spark, d), _groups(spark, d))
+    return found.withColumn("others", F.array_join("others", ","))
+
+
+@query(
+    "brand_overlap",
+    sql.with_groups(
+        ", named AS (SELECT DISTINCT seed_seq, brand FROM (SELECT seed_seq, brand, count(brand) "
+        "OVER (PARTITION BY seed_seq) AS n FROM groups JOIN deals USING (seq)) "
+        "WHERE n > 1 AND brand IS NOT NULL) " + _OVERLAP_SQL.format(c="brand")
+    ),
+)
+def brand_overlap(spark, d):
+    found = dedup.brand_overlap(deals(spark, d), _groups(spark, d))
+    return found.withColumn("others", F.array_join("others", ","))

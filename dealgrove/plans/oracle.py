@@ -189,3 +189,139 @@ def ranked_sql(predicate: str) -> str:
     return with_scored(f"SELECT {RANKED_COLUMNS} FROM scored WHERE {predicate}")
 
 
+# Similarity of every two distinct lower-case titles: the common subsequence runs the
+# bit-vector recurrence over the characters of the second title.
+NEAR = """
+words AS (SELECT DISTINCT lower(title) AS t FROM deals),
+masks AS (
+  SELECT t, length(t) AS n, (CAST(1 AS BIGINT) << length(t)) - 1 AS ones,
+         string_split(t, '') AS letters FROM words
+),
+near AS (
+  SELECT x.t AS ta, y.t AS tb, x.n + y.n AS total, x.n - bit_count(list_reduce(
+    list_transform(y.letters, lambda c: list_reduce(
+      list_transform(range(1, x.n + 1),
+        lambda i: CASE WHEN x.letters[i] = c THEN CAST(1 AS BIGINT) << (i - 1) ELSE 0 END),
+      lambda p, q: p | q)),
+    lambda v, m: ((v + (v & m)) | (v & ~m)) & x.ones, x.ones)) AS lcs
+  FROM masks x JOIN masks y ON TRUE
+)"""
+
+_CLOSE = (
+    "(CASE WHEN a.price = 0 OR b.price = 0 THEN a.price = b.price "
+    "ELSE abs(a.price - b.price) * 200 <= (a.price + b.price) * {pct} END)"
+)
+_BLOCK = " AND ".join(f"a.{c} IS NOT DISTINCT FROM b.{c}" for c in ("brand", "sport", "category"))
+_OVERLAP = (
+    "(coalesce(len(a.sizes), 0) = 0 OR coalesce(len(b.sizes), 0) = 0 "
+    "OR list_has_any(a.sizes, b.sizes))"
+)
+
+
+def _rule(condition: str, more: str = "", where: str = "TRUE") -> str:
+    return (
+        "SELECT a.seq AS left_seq, b.seq AS right_seq FROM deals a JOIN deals b "
+        f"ON {condition} AND a.seq < b.seq {more} WHERE {where}"
+    )
+
+
+RULES = {
+    "exact": _rule(
+        "a.title = b.title AND a.brand IS NOT DISTINCT FROM b.brand AND " + _CLOSE.format(pct=5)
+    ),
+    "gtin": _rule("a.gtin = b.gtin"),
+    "mpn": _rule("a.mpn = b.mpn"),
+    "sku": _rule("a.sku = b.sku AND a.retailer = b.retailer"),
+    "fuzzy": _rule(
+        f"{_BLOCK} AND {_CLOSE.format(pct=10)} AND {_OVERLAP}",
+        "JOIN near ON ta = lower(a.title) AND tb = lower(b.title)",
+        "lcs * 400 > total * 169",
+    ),
+}
+
+
+def pairs_sql(rule: str) -> str:
+    near = f", {NEAR}" if rule == "fuzzy" else ""
+    return f"WITH {DEALS}{near}\n{RULES[rule]}"
+
+
+_UNION = " UNION ALL ".join(
+    f"SELECT *, {i} AS rule FROM ({body})" for i, body in enumerate(RULES.values(), 1)
+)
+ALL_PAIRS = f"""{DEALS}, {PRICED}, {PARTS},
+scored AS (
+  SELECT *, {round_half_even(_TOTAL, 1)} AS score, {relevance()} AS relevance_score FROM parts
+), {NEAR},
+pairs AS MATERIALIZED (
+  SELECT left_seq, right_seq, min(rule) AS rule FROM ({_UNION}) GROUP BY ALL
+)"""
+
+# Greedy groups: rounds of earliest-in-their-neighbourhood founders over the match graph.
+GROUPS = """
+edges AS MATERIALIZED (
+  SELECT seq AS a, seq AS b FROM deals
+  UNION ALL SELECT left_seq, right_seq FROM pairs
+  UNION ALL SELECT right_seq, left_seq FROM pairs
+),
+rounds AS (
+  SELECT 'edge' AS kind, a, b FROM edges
+  UNION ALL
+  SELECT * FROM (
+    WITH act AS (SELECT a, b FROM rounds WHERE kind = 'edge'),
+         founder AS (SELECT a FROM act GROUP BY a HAVING min(b) = a),
+         hit AS (SELECT DISTINCT act.a FROM act JOIN founder ON act.b = founder.a)
+    SELECT 'seed' AS kind, a, a AS b FROM founder
+    UNION ALL
+    SELECT 'edge', a, b FROM act
+    WHERE a NOT IN (SELECT a FROM hit) AND b NOT IN (SELECT a FROM hit)
+  )
+),
+groups AS MATERIALIZED (
+  SELECT e.a AS seq, min(e.b) AS seed_seq FROM edges e
+  JOIN (SELECT a FROM rounds WHERE kind = 'seed') s ON e.b = s.a GROUP BY e.a
+)"""
+
+
+def with_groups(select: str) -> str:
+    return f"WITH RECURSIVE {ALL_PAIRS}, {GROUPS}\n{select}"
+
+
+BASES = """,
+members AS MATERIALIZED (
+  SELECT *, count(*) OVER (PARTITION BY seed_seq) AS group_size,
+         row_number() OVER (PARTITION BY seed_seq ORDER BY score DESC, seq) AS place
+  FROM groups JOIN scored USING (seq)
+),
+bases AS (
+  SELECT seed_seq, seq AS base_seq, id AS base_id, retailer AS base_retailer
+  FROM members WHERE place = 1
+)"""
+
+
+def _better(column: str, improved: str) -> str:
+    """The improved value in groups of several deals, else the base's own."""
+    base = f"any_value({column}) FILTER (WHERE place = 1)"
+    return f"CASE WHEN count(*) > 1 THEN coalesce({improved}, {base}) ELSE {base} END"
+
+
+def _first_text(column: str) -> str:
+    own = f"nullif(any_value({column}) FILTER (WHERE place = 1), '')"
+    return f"coalesce({own}, arg_min({column}, place) FILTER (WHERE {column} <> ''))"
+
+
+MERGED = f"""{BASES}
+SELECT m.seed_seq, any_value(m.id) FILTER (WHERE place = 1) AS id, count(*) AS group_size,
+  CAST(min(price) AS DOUBLE) AS price,
+  CAST({_better("msrp", "max(msrp) FILTER (WHERE msrp <> 0)")} AS DOUBLE) AS msrp,
+  array_to_string({_better("sizes", "list_sort(list_distinct(flatten(list(sizes) "
+    "FILTER (WHERE sizes IS NOT NULL))))")}, ',') AS sizes,
+  {_better("coupon_code", _first_text("coupon_code"))} AS coupon_code,
+  {_better("shipping_notes", _first_text("shipping_notes"))} AS shipping_notes,
+  {_better("in_stock", "bool_or(in_stock)")} AS in_stock,
+  {_better("stock_level", "CASE WHEN bool_or(stock_level = 'limited') THEN 'limited' "
+    "ELSE arg_min(stock_level, place) FILTER (WHERE stock_level <> '') END")} AS stock_level,
+  CAST(CAST(max(last_seen) AS DATE) AS VARCHAR) AS last_seen,
+  CAST(CAST({_better("first_seen", "min(first_seen)")} AS DATE) AS VARCHAR) AS first_seen,
+  string_agg(retailer, ',' ORDER BY place) FILTER (WHERE retailer <> base_retailer)
+    AS alternate_retailers
+FROM members m JOIN bases b ON m.seed_seq = b.seed_seq GROUP BY m.seed_seq"""
