@@ -4,13 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, dedup, filters, pairing, ranking
+from ..functions.dates import week_label
+from ..operators import (
+    aggregates,
+    dedup,
+    extract,
+    filters,
+    merge,
+    normalize,
+    pairing,
+    quality,
+    ranking,
+)
 from ..operators.scoring import SUB_SCORES, score_deals, with_pricing
 from ..session import cut_lineage
+from ..sources import pages, tables
 from . import oracle as sql
+from . import sample
 from .sample import deals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -451,3 +464,446 @@ def retailer_overlap(spark, d):
 def brand_overlap(spark, d):
     found = dedup.brand_overlap(deals(spark, d), _groups(spark, d))
     return found.withColumn("others", F.array_join("others", ","))
+
+
+# --- stored tables ----------------------------------------------------------
+
+
+def _day(column: str) -> str:
+    return F.col(column).cast("date").cast("string").alias(column)
+
+
+query(
+    "recent_deals",
+    sql.with_deals(
+        f"SELECT id FROM deals WHERE last_seen >= TIMESTAMP '{DEALS_NOW}' - INTERVAL 24 HOUR"
+    ),
+)(lambda spark, d: tables.recent_deals(deals(spark, d), at(DEALS_NOW)).select("id"))
+query(
+    "expire_deals_kept",
+    sql.with_deals(
+        f"SELECT id FROM deals WHERE NOT last_seen < TIMESTAMP '{DEALS_NOW}' - INTERVAL 30 DAY"
+    ),
+)(lambda spark, d: tables.expire_deals(deals(spark, d), at(DEALS_NOW))[0].select("id"))
+query(
+    "expire_deals_count",
+    sql.with_deals(
+        "SELECT count_if(last_seen < "
+        f"TIMESTAMP '{DEALS_NOW}' - INTERVAL 30 DAY) AS n_removed FROM deals"
+    ),
+)(lambda spark, d: tables.expire_deals(deals(spark, d), at(DEALS_NOW))[1])
+query(
+    "get_deal",
+    sql.with_deals(
+        "SELECT id, title, retailer FROM deals WHERE id = (SELECT max(id) FROM deals)"
+    ),
+)(
+    lambda spark, d: tables.get_deal(
+        deals(spark, d), deals(spark, d).agg(F.max("id")).first()[0]
+    ).select("id", "title", "retailer")
+)
+
+
+@query(
+    "price_observations",
+    sql.with_deals(
+        "SELECT id AS deal_id, CAST(price AS DOUBLE) AS price, CAST(msrp AS DOUBLE) AS msrp, "
+        "retailer, stock_level AS stock_status, coalesce(promotion_type, '') <> '' AS "
+        "promotion_active FROM deals"
+    ),
+)
+def price_observations(spark, d):
+    rows = tables.price_observations(deals(spark, d), at(DEALS_NOW))
+    return rows.select(
+        "deal_id", F.col("price").cast("double").alias("price"),
+        F.col("msrp").cast("double").alias("msrp"), "retailer", "stock_status", "promotion_active",
+    )
+
+
+@query(
+    "price_history_for",
+    "SELECT 'deal:' || user_id AS deal_id, CAST(CAST(value AS DECIMAL(12,2)) AS DOUBLE) AS price, "
+    "event_type AS retailer, strftime(ts, '%Y-%m-%d %H:%M:%S') AS seen FROM events "
+    f"WHERE ts >= TIMESTAMP '{EVENTS_NOW}' - INTERVAL 10 DAY AND user_id IN "
+    "(SELECT user_id FROM events GROUP BY 1 HAVING count_if(event_type = 'purchase') >= 2)",
+)
+def price_history_for(spark, d):
+    history = sample.price_history(spark, d)
+    bought = (
+        history.groupBy("deal_id").agg(F.count_if(F.col("retailer") == "purchase").alias("n"))
+        .filter("n >= 2")
+    )
+    found = tables.price_history_for(history, bought, at(EVENTS_NOW), days=10)
+    return found.select(
+        "deal_id", F.col("price").cast("double").alias("price"), "retailer",
+        F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("seen"),
+    )
+
+
+@query(
+    "upsert_deals",
+    sql.with_deals(
+        "SELECT 'sku:' || sku AS id, "
+        + ", ".join(
+            f"arg_max({c}, batch || seq) FILTER (WHERE {c} IS NOT NULL) AS {c}"
+            for c in ("brand", "retailer", "coupon_code", "in_stock", "stock_level")
+        )
+        + ", CAST(arg_max(price, batch || seq) AS DOUBLE) AS price FROM ("
+        "SELECT *, CASE WHEN promotion_type IS NULL THEN 0 ELSE 1 END AS batch FROM deals) "
+        "GROUP BY 1"
+    ),
+)
+def upsert_deals(spark, d):
+    """Regular offers form the stored table, clearance offers arrive as an update."""
+    rows = deals(spark, d).select(
+        F.concat(F.lit("sku:"), "sku").alias("id"), "seq", "brand", "retailer", "coupon_code",
+        "in_stock", "stock_level", "price", "promotion_type",
+    )
+    stored = rows.filter(F.col("promotion_type").isNull()).drop("promotion_type")
+    arriving = rows.filter(F.col("promotion_type").isNotNull()).drop("promotion_type")
+    merged = merge.upsert_deals(merge.latest_values(stored, "id", ["seq"]), arriving)
+    return merged.withColumn("price", F.col("price").cast("double"))
+
+
+_SESSIONS = (
+    "s AS (SELECT user_id || ':' || CAST(CAST(ts AS DATE) AS VARCHAR) AS session_id, "
+    "'store' || (user_id % 10) AS retailer, CAST(ts AS DATE) AS started_at, "
+    "CASE WHEN event_type = 'purchase' THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS ended_at, "
+    "CASE WHEN event_type = 'view' THEN CAST(trunc(value) AS INTEGER) END AS pages_scraped, "
+    "CASE WHEN event_type = 'click' THEN CAST(trunc(value) AS INTEGER) END AS items_found, "
+    "CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'completed' END AS status, "
+    "event_id AS seq FROM events), "
+    "merged AS (SELECT session_id, max(retailer) AS retailer, max(started_at) AS started_at, "
+    + ", ".join(
+        f"arg_max({c}, seq) FILTER (WHERE {c} IS NOT NULL) AS {c}"
+        for c in ("ended_at", "pages_scraped", "items_found", "status")
+    )
+    + " FROM s GROUP BY session_id)"
+)
+
+
+def _merged_sessions(spark, d):
+    """Reports before the middle of the month are stored, later ones arrive as an update."""
+    rows = sample.sessions(spark, d)
+    early = F.col("started_at") < at("2024-01-16 00:00:00")
+    stored = merge.latest_values(rows.filter(early), "session_id", ["seq"])
+    return merge.upsert_sessions(stored, rows.filter(~early))
+
+
+@query(
+    "upsert_sessions",
+    f"WITH {_SESSIONS} SELECT * REPLACE (CAST(started_at AS VARCHAR) AS started_at) FROM merged",
+)
+def upsert_sessions(spark, d):
+    return _merged_sessions(spark, d).withColumns(
+        {
+            "started_at": F.col("started_at").cast("date").cast("string"),
+            "ended_at": F.date_format("ended_at", "yyyy-MM-dd HH:mm:ss"),
+        }
+    )
+
+
+@query(
+    "recent_sessions",
+    f"WITH {_SESSIONS} SELECT session_id, retailer, CAST(started_at AS VARCHAR) AS started_at "
+    "FROM merged WHERE retailer = 'store3' ORDER BY merged.started_at DESC, session_id LIMIT 10",
+)
+def recent_sessions(spark, d):
+    return tables.recent_sessions(_merged_sessions(spark, d), "store3").select(
+        "session_id", "retailer", _day("started_at")
+    )
+
+
+# --- sources and pages ------------------------------------------------------
+
+_BASE = (
+    "CASE WHEN s_suppkey % 10 = 9 THEN 'shop/' || s_suppkey ELSE 'https://shop' || s_suppkey || "
+    "'.example/sale' || CASE WHEN s_suppkey % 2 = 0 THEN '?tag=y' ELSE '' END END"
+)
+_GLUE = f"CASE WHEN contains({_BASE}, '?') THEN '&' ELSE '?' END"
+
+
+@query(
+    "crawl_plan",
+    "WITH p AS ("
+    f"SELECT s_name, {_BASE} AS base, {_GLUE} AS glue, unnest(range(1, 11)) AS n, 'page' AS kind "
+    "FROM supplier WHERE s_suppkey % 7 = 0 AND s_suppkey % 4 <> 0 UNION ALL "
+    f"SELECT s_name, {_BASE}, {_GLUE}, unnest(range(1, 5)), 'offset' FROM supplier "
+    "WHERE s_suppkey % 7 = 1 AND s_suppkey % 4 <> 0 UNION ALL "
+    f"SELECT s_name, {_BASE}, {_GLUE}, 1, 'base' FROM supplier "
+    "WHERE s_suppkey % 7 = 6 AND s_suppkey % 4 <> 0) "
+    "SELECT s_name AS retailer, CAST(n AS INTEGER) AS page_num, base || CASE kind "
+    "WHEN 'page' THEN glue || 'page=' || n "
+    "WHEN 'offset' THEN glue || 'offset=' || ((n - 1) * 24) || '&limit=24' ELSE '' END AS url FROM p",
+)
+def crawl_plan(spark, d):
+    return pages.crawl_plan(pages.select_sources(sample.supplier_sources(spark, d)))
+
+
+query(
+    "select_sources",
+    "SELECT s_name AS name FROM supplier WHERE s_suppkey % 4 <> 0",
+)(lambda spark, d: pages.select_sources(sample.supplier_sources(spark, d)).select("name"))
+
+
+def _message(condition: str, message: str) -> str:
+    return f"CASE WHEN {condition} THEN '{message}' END"
+
+
+@query(
+    "check_sources",
+    "SELECT name, errors FROM (SELECT s_name AS name, concat_ws('|', "
+    + ", ".join(
+        _message(c.replace("k ", "s_suppkey "), m)
+        for c, m in [
+            ("k % 10 = 9", "Invalid base URL format"),
+            ("k % 11 = 0", "Missing required selector: item"),
+            ("k % 13 = 0", "Empty selector: title"),
+            ("k % 9 = 0", "requests_per_minute must be positive"),
+            ("k % 7 = 3", "Page parameter name is required for page_param type"),
+            ("k % 7 = 3", "Start page must be a positive integer"),
+            ("k % 7 = 4", "Limit is required for offset type"),
+            ("k % 17 = 0", "Empty youth keyword found"),
+            ("k % 7 = 5", "Unknown pagination type: cursor"),
+        ]
+    )
+    + ") AS errors FROM supplier) WHERE errors <> ''",
+)
+def check_sources(spark, d):
+    bad = quality.check_sources(sample.supplier_sources(spark, d))[1]
+    return bad.select("name", F.array_join("errors", "|").alias("errors"))
+
+
+@query(
+    "page_prefix",
+    "WITH p AS (SELECT CAST(user_id AS VARCHAR) AS retailer, event_id, value, event_type, "
+    "row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS page_num FROM events), "
+    "k AS (SELECT *, CASE WHEN event_type = 'error' AND value < 60 THEN page_num - 1 "
+    "WHEN value < 20 THEN page_num END AS last_kept FROM p) "
+    "SELECT retailer, CAST(page_num AS INTEGER) AS page_num, event_id FROM "
+    "(SELECT *, min(last_kept) OVER (PARTITION BY retailer) AS stop FROM k) "
+    "WHERE stop IS NULL OR page_num <= stop",
+)
+def page_prefix(spark, d):
+    """Users as sources, their events as crawled pages, event values as item counts."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    stats = sample.table(spark, d, "events").select(
+        F.col("user_id").cast("string").alias("retailer"),
+        F.row_number().over(w).alias("page_num"),
+        F.col("value").alias("n_items"),
+        ((F.col("event_type") == "error") & (F.col("value") < 60)).alias("failed"),
+        "event_id",
+    )
+    minimum = stats.select(
+        F.col("retailer").alias("name"), F.lit(20.0).alias("min_items_per_page")
+    ).distinct()
+    return pages.page_prefix(stats, minimum).select("retailer", "page_num", "event_id")
+
+
+# --- quality and normalisation ----------------------------------------------
+
+
+@query(
+    "validate_deals",
+    sql.with_deals(
+        "SELECT id, errors FROM (SELECT id, concat_ws('|', "
+        "CASE WHEN price = 0 THEN 'Missing required field: price' END, "
+        "CASE WHEN msrp < price THEN 'MSRP cannot be less than current price' END, "
+        f"CASE WHEN gtin IS NOT NULL AND NOT {sql.luhn('gtin', 13)} "
+        "THEN 'Invalid GTIN format' END) AS errors FROM deals) WHERE errors <> ''"
+    ),
+)
+def validate_deals(spark, d):
+    rejected = quality.validate_deals(deals(spark, d))[1]
+    return rejected.select("id", F.array_join("errors", "|").alias("errors"))
+
+
+query(
+    "check_gtin",
+    sql.with_deals(
+        f"SELECT id, coalesce({sql.luhn('gtin', 13)}, FALSE) AS gtin_ok FROM deals"
+    ),
+)(lambda spark, d: quality.check_gtin(deals(spark, d), "gtin").select("id", "gtin_ok"))
+query(
+    "check_deal_constraints",
+    sql.with_deals("SELECT count(*) AS n_valid, 0 AS n_rejected FROM deals"),
+)(
+    lambda spark, d: quality.deal_constraints(deals(spark, d)).agg(
+        F.count_if(F.size("errors") == 0).alias("n_valid"),
+        F.count_if(F.size("errors") > 0).alias("n_rejected"),
+    )
+)
+query(
+    "sanitize_column",
+    r"SELECT page_id, sha256(CASE WHEN length(t) > 500 THEN substr(t, 1, 497) || '...' ELSE t END) "
+    r"AS html FROM (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, "
+    r"'<[^>]+>', '', 'g'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), "
+    r"'[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', "
+    r"' ', 'g')) AS t FROM pages)",
+)(
+    lambda spark, d: quality.sanitize_column(sample.table(spark, d, "pages"), ["html"], 500).select(
+        "page_id", F.sha2("html", 256).alias("html")
+    )
+)
+
+
+@query(
+    "normalize_listings",
+    sql.with_deals(
+        "SELECT id, title, trim(coalesce(brand, CASE WHEN contains(title, 'PROMO') THEN 'PROMO' "
+        "ELSE split_part(title, ' ', 3) END)) AS brand, CAST(price AS DOUBLE) AS price, "
+        "CAST(msrp AS DOUBLE) AS msrp, contains(lower(title), 'small') AS youth_flag, "
+        "array_to_string(list_transform(list_sort(list_transform(sizes, lambda s: "
+        "lpad(CAST(length(s) AS VARCHAR), 3, '0') || s)), lambda s: s[4:]), ',') AS sizes, "
+        "'https://land.example/product/' || sku AS canonical_url, 'land.example' AS domain, "
+        "CASE WHEN length(sku) >= 2 THEN sku END AS sku, coupon_code, 'Jan 31st' AS promotion_end "
+        "FROM deals"
+    ),
+)
+def normalize_listings(spark, d):
+    raw = deals(spark, d).select(
+        "id",
+        F.concat(F.lit("  "), F.replace("title", F.lit(" "), F.lit("\t  "))).alias("title"),
+        "brand",
+        F.concat(F.lit("Sale: $"), F.col("price").cast("string")).alias("price_text"),
+        F.concat(F.lit("was: €"), F.col("msrp").cast("string")).alias("msrp_text"),
+        F.array_join("sizes", " | ").alias("size_text"),
+        F.concat(F.lit("/product/"), "sku").alias("url"),
+        F.lit("https://land.example/sale/all").alias("base_url"),
+        F.concat(F.lit("SKU: "), "sku").alias("sku"),
+        F.concat(F.lit("Use code "), "coupon_code").alias("coupon_text"),
+        F.lit("Offer ends on Jan 31st!").alias("promo_text"),
+    )
+    done = normalize.normalize_listings(raw)
+    return done.select(
+        "id", "title", "brand", F.col("price").cast("double").alias("price"),
+        F.col("msrp").cast("double").alias("msrp"), "youth_flag",
+        F.array_join("sizes", ",").alias("sizes"), "canonical_url", "domain", "sku",
+        "coupon_code", "promotion_end",
+    )
+
+
+@query(
+    "derived_columns",
+    sql.with_deals(
+        "SELECT id, discount_pct, CAST(price AS DOUBLE) AS effective_price, "
+        "coalesce(youth_flag OR list_has_any(sizes, ['YS', 'JR']) OR (len(list_filter(sizes, "
+        "lambda s: regexp_full_match(s, '[0-9]+'))) > 0 AND len(list_filter(sizes, lambda s: "
+        "regexp_full_match(s, '[0-9]+') AND TRY_CAST(s AS DOUBLE) NOT BETWEEN 1 AND 6)) = 0), FALSE) "
+        "AS youth_sized, CAST(CAST(coalesce(first_seen, last_seen) AS DATE) AS VARCHAR) "
+        "AS first_seen FROM priced"
+    ),
+)
+def derived_columns(spark, d):
+    return normalize.with_derived(deals(spark, d)).select(
+        "id", "discount_pct", F.col("effective_price").cast("double").alias("effective_price"),
+        "youth_sized", _day("first_seen"),
+    )
+
+
+@query(
+    "week_label",
+    sql.with_deals("SELECT id, strftime(last_seen, '%Y-W%U') AS week FROM deals"),
+)
+def week(spark, d):
+    return deals(spark, d).select("id", week_label(F.col("last_seen")).alias("week"))
+
+
+# --- extraction -------------------------------------------------------------
+
+
+def _parsed(spark, d):
+    landed = sample.listing_pages(spark, d)
+    return landed, extract.parse_cards(landed, sample.sources(spark, d))
+
+
+@query(
+    "explode_cards",
+    sql.with_deals(
+        "SELECT id AS offer, unnest([0, 1]) AS card_pos, unnest([TRUE, FALSE]) AS priced FROM deals"
+    ),
+)
+def explode_cards(spark, d):
+    cards = extract.explode_cards(sample.listing_pages(spark, d), sample.sources(spark, d))
+    return cards.select(
+        "offer", "card_pos", F.contains("card", F.lit("sale-price")).alias("priced")
+    )
+
+
+@query("page_links", "SELECT page_id, unnest(regexp_extract_all(html, "
+       "'<li><a href=\"([^\"]*)\">', 1)) AS link FROM pages")
+def page_links(spark, d):
+    """Raw web pages through the same card machinery: one card per list link."""
+    site = spark.sql(
+        "SELECT 'web' AS name, map('item', '<li><a href=\"[^\"]*\">[^<]*</a></li>', "
+        "'url', '(?is)<(a)\\\\b[^>]*?href=\"([^\"]*)\"') AS selectors"
+    )
+    landed = sample.table(spark, d, "pages").withColumn("retailer", F.lit("web"))
+    cards = extract.explode_cards(landed, site)
+    return cards.select("page_id", extract.markup("url").alias("link"))
+
+
+@query(
+    "extract_fields",
+    sql.with_deals(
+        "SELECT id AS offer, title, CAST(price AS DOUBLE) AS price, CAST(msrp AS DOUBLE) AS msrp, "
+        "trim(coalesce(brand, split_part(title, ' ', 3))) AS brand, CAST(NULL AS VARCHAR) AS image, "
+        "canonical_url || '?ref=list' AS canonical_url FROM deals"
+    ),
+)
+def extract_fields(spark, d):
+    cards = extract.explode_cards(sample.listing_pages(spark, d), sample.sources(spark, d))
+    found = extract.extract_fields(cards).filter(F.col("g").isNotNull())
+    return found.select(
+        "offer", "g.title", F.col("g.price").cast("double").alias("price"),
+        F.col("g.msrp").cast("double").alias("msrp"), "g.brand",
+        F.col("g.image_url").alias("image"), "g.canonical_url",
+    )
+
+
+@query(
+    "jsonld_product",
+    sql.with_deals(
+        "SELECT id AS offer, mpn, 'Labelled' AS brand, CAST(price AS DOUBLE) AS price, "
+        "FALSE AS in_stock FROM deals WHERE mpn IS NOT NULL"
+    ),
+)
+def jsonld_product(spark, d):
+    found = extract.jsonld_product(sample.listing_pages(spark, d).select("offer", "html"))
+    return found.select(
+        "offer", "mpn", "brand", F.col("price").cast("double").alias("price"), "in_stock"
+    )
+
+
+query(
+    "jsonld_blocks",
+    sql.with_deals("SELECT id AS offer, 0 AS pos, mpn FROM deals WHERE mpn IS NOT NULL"),
+)(
+    lambda spark, d: extract.jsonld_blocks(
+        sample.listing_pages(spark, d).select("offer", "html")
+    ).select("offer", "pos", F.expr("try_variant_get(payload, '$.mpn', 'string')").alias("mpn"))
+)
+
+
+@query("extract_deals", sql.extracted_sql())
+def extract_deals(spark, d):
+    _, cards = _parsed(spark, d)
+    return cards.filter(F.col("outcome") == "deal").select(
+        "offer", "id", "title", F.col("price").cast("double").alias("price"), "brand", "sku",
+        "mpn", "category", "sport", F.array_join("sizes", ",").alias("sizes"), "in_stock",
+        "stock_level", "promotion_type", "coupon_code", "youth_flag", "age_range",
+    )
+
+
+@query(
+    "session_stats",
+    sql.with_deals(
+        "SELECT retailer, count(*) AS pages_scraped, 2 * count(*) AS items_found, "
+        "count(*) AS items_parsed, 0 AS errors, 'completed' AS status, 50.0::DOUBLE AS success_rate, "
+        "CAST(epoch(max(last_seen)) - epoch(min(last_seen)) AS DOUBLE) AS duration_seconds "
+        "FROM deals GROUP BY retailer"
+    ),
+)
+def session_stats(spark, d):
+    landed, cards = _parsed(spark, d)
+    return extract.session_stats(landed, cards).drop("session_id", "started_at", "ended_at")

@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from ..fixed import (
     BRAND_SCORES,
+    CATEGORY_DEFAULT,
+    CATEGORY_KEYWORDS,
+    DICKS_CATEGORY_KEYWORDS,
+    MONKEY_EXTRA_KEYWORDS,
     SCORE_ADULT_WORDS,
     SCORE_YOUTH_SIZE_TOKENS,
     SCORE_YOUTH_WORDS,
+    SOCCER_EXTRA_KEYWORDS,
     SPORT_BRAND_BONUSES,
+    SPORT_DEFAULT,
+    SPORT_KEYWORDS,
 )
 from .sample import BRANDS, CATEGORIES, SIZE_SETS, SPORTS
 
@@ -325,3 +332,54 @@ SELECT m.seed_seq, any_value(m.id) FILTER (WHERE place = 1) AS id, count(*) AS g
   string_agg(retailer, ',' ORDER BY place) FILTER (WHERE retailer <> base_retailer)
     AS alternate_retailers
 FROM members m JOIN bases b ON m.seed_seq = b.seed_seq GROUP BY m.seed_seq"""
+
+
+def luhn(column: str, digits: int) -> str:
+    """Luhn test of a digit string of known length, term by term."""
+    terms = []
+    for i in range(digits - 1):
+        d = f"CAST(substr({column}, {digits - 1 - i}, 1) AS INTEGER)"
+        terms.append(f"(CASE WHEN {d} > 4 THEN 2 * {d} - 9 ELSE 2 * {d} END)" if i % 2 == 0 else d)
+    last = f"CAST(substr({column}, {digits}, 1) AS INTEGER)"
+    return f"((({' + '.join(terms)}) + {last}) % 10 = 0)"
+
+
+def cascade(text: str, groups: list[tuple[str, list[str]]], default: str) -> str:
+    arms = " ".join(f"WHEN {_any(text, words)} THEN {quote(v)}" for v, words in groups)
+    return f"CASE {arms} ELSE {quote(default)} END"
+
+
+def _more(groups, extra):
+    return [(v, words + extra.get(v, [])) for v, words in groups]
+
+
+def extracted_sql() -> str:
+    """What extraction has to find on the listing pages, straight from the deals.
+
+    Sources cycle through five rule variants by nation: 0 general, 1 link SKUs and
+    its own lists, 2 one sport, 3 a store without a sport in its name, 4 one brand.
+    """
+    crumb = "lower(concat_ws(' > ', 'Home', category, sport))"
+    no_athletic = [(v, [w for w in ws if w != "athletic"]) for v, ws in SPORT_KEYWORDS]
+    category = f"""CASE kind
+      WHEN 1 THEN {cascade(crumb, DICKS_CATEGORY_KEYWORDS, CATEGORY_DEFAULT)}
+      WHEN 2 THEN {cascade(crumb, _more(CATEGORY_KEYWORDS, SOCCER_EXTRA_KEYWORDS), CATEGORY_DEFAULT)}
+      WHEN 3 THEN {cascade(crumb, _more(CATEGORY_KEYWORDS, MONKEY_EXTRA_KEYWORDS), CATEGORY_DEFAULT)}
+      ELSE {cascade(crumb, CATEGORY_KEYWORDS, CATEGORY_DEFAULT)} END"""
+    found_sport = f"""CASE kind WHEN 2 THEN 'soccer' WHEN 3 THEN 'lacrosse'
+      WHEN 1 THEN {cascade(crumb, no_athletic, SPORT_DEFAULT)}
+      ELSE {cascade(crumb, SPORT_KEYWORDS, SPORT_DEFAULT)} END"""
+    return f"""WITH {DEALS},
+k AS (SELECT *, CAST(split_part(retailer, '_', 2) AS INTEGER) % 5 AS kind FROM deals)
+SELECT id AS offer, coalesce('mpn:' || mpn, 'sku:' || sku) AS id, title,
+  CAST(price AS DOUBLE) AS price,
+  CASE WHEN kind = 4 THEN 'Nike' WHEN brand IS NOT NULL THEN trim(brand)
+       WHEN mpn IS NOT NULL THEN 'Labelled' ELSE split_part(title, ' ', 3) END AS brand,
+  sku, mpn, {category} AS category, {found_sport} AS sport,
+  array_to_string(sizes, ',') AS sizes,
+  CASE WHEN in_stock THEN TRUE WHEN NOT in_stock THEN kind <> 1
+       WHEN mpn IS NOT NULL THEN FALSE END AS in_stock,
+  CASE WHEN in_stock IS NULL THEN 'limited' END AS stock_level,
+  promotion_type, coupon_code, contains(lower(title), 'small') AS youth_flag,
+  CASE WHEN kind <> 1 THEN age_range END AS age_range
+FROM k"""

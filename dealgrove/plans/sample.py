@@ -10,7 +10,11 @@ from itertools import chain
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .. import dims
+from ..schema import SOURCE
+from ..sources.pages import with_source_defaults
 from ..sources.tables import spread
 
 # Brand labels of the test tables, mapped to names that exercise every score.
@@ -128,3 +132,204 @@ def deals(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("l_linenumber") != 7, F.col("l_shipdate") - F.expr("interval 3 days")
         ).alias("first_seen"),
     )
+
+
+# --- sources and landed pages -----------------------------------------------
+
+KINDS = ["general", "dicks", "soccer", "monkey", "nike"]
+KIND_SPORTS = ["multi", "multi", "soccer", "lacrosse", "multi"]
+
+_RULE_COLUMNS = [
+    "fixed_brand", "fixed_sport", "category_rules", "sport_rules", "stock_rules",
+    "size_placeholders", "youth_words", "adult_words", "keeps_age_range", "sku_from_link",
+]
+
+
+def _kinds(spark: SparkSession) -> DataFrame:
+    """The five rule variants as a literal table."""
+    wanted = T.StructType(
+        [T.StructField("kind", T.IntegerType())]
+        + [SOURCE[c] for c in _RULE_COLUMNS]
+        + [SOURCE["sport"], SOURCE["selectors"]]
+    )
+    rows = []
+    for i, kind in enumerate(KINDS):
+        rules = dims.source_rules(kind)
+        rows.append(
+            (i, *[rules[c] for c in _RULE_COLUMNS], KIND_SPORTS[i], dims.selectors())
+        )
+    return spark.createDataFrame(rows, wanted)
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One source per supplier nation, cycling through the rule variants."""
+    nations = table(spark, sf_dir, "nation").withColumn("kind", F.col("n_nationkey") % len(KINDS))
+    return with_source_defaults(
+        nations.join(_kinds(spark), "kind").select(
+            F.col("n_name").alias("name"),
+            F.concat(F.lit("https://"), F.lower("n_name"), F.lit(".example/sale")).alias("base_url"),
+            *_columns_or_null(
+                {
+                    **{c: F.col(c) for c in [*_RULE_COLUMNS, "sport", "selectors"]},
+                    "youth_keywords": F.array(F.lit("youth"), F.lit("junior")),
+                    "min_items_per_page": F.lit(1),
+                }
+            ),
+        )
+    )
+
+
+def _columns_or_null(given: dict) -> list[Column]:
+    return [
+        given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in SOURCE.fields
+        if f.name not in ("name", "base_url")
+    ]
+
+
+def supplier_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One source per supplier, with every kind of pagination and some bad settings."""
+    key = F.col("s_suppkey")
+
+    def paging(kind: str | None, param: str | None, start, pages, limit) -> Column:
+        return F.struct(
+            F.lit(kind).alias("type"),
+            F.lit(param).alias("param"),
+            F.lit(start).cast("int").alias("start"),
+            F.lit(pages).cast("int").alias("max_pages"),
+            F.lit(limit).cast("int").alias("limit"),
+        )
+
+    pagination = (
+        F.when(key % 7 == 0, paging("page_param", "page", 1, 10, None))
+        .when(key % 7 == 1, paging("offset", None, 1, 4, 24))
+        .when(key % 7 == 2, paging("scroll", None, 1, 3, None))
+        .when(key % 7 == 3, paging("page_param", None, 0, 2, None))
+        .when(key % 7 == 4, paging("offset", None, 1, 2, None))
+        .when(key % 7 == 5, paging("cursor", None, 1, 2, None))
+    )
+    item = F.when(key % 11 != 0, F.lit("item")).otherwise(F.lit("other"))
+    selectors = F.create_map(
+        item, F.lit("<li.*?</li>"),
+        F.lit("title"), F.when(key % 13 == 0, " ").otherwise("<b>(x)(.*?)</b>"),
+        F.lit("price"), F.lit("(x)(y)"),
+    )
+    base = F.when(
+        key % 10 == 9, F.concat(F.lit("shop/"), key.cast("string"))
+    ).otherwise(
+        F.concat(F.lit("https://shop"), key.cast("string"), F.lit(".example/sale"),
+                 F.when(key % 2 == 0, "?tag=y").otherwise(""))
+    )
+    return with_source_defaults(
+        table(spark, sf_dir, "supplier").select(
+            F.col("s_name").alias("name"),
+            base.alias("base_url"),
+            *_columns_or_null(
+                {
+                    "enabled": key % 4 != 0,
+                    "pagination": pagination,
+                    "selectors": selectors,
+                    "min_items_per_page": (key % 3 + 1).cast("int"),
+                    "rate_limit": F.create_map(
+                        F.lit("requests_per_minute"), (key % 9).cast("int"),
+                        F.lit("burst"), F.lit(2),
+                    ),
+                    "youth_keywords": F.when(key % 17 == 0, F.array(F.lit("jr"), F.lit(" "))),
+                }
+            ),
+        )
+    )
+
+
+def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A landed page per deal: its card, then a card that lacks a price.
+
+    ``offer`` names the deal, so extraction results can be checked against it.
+    """
+    d = deals(spark, sf_dir)
+    money = lambda c: F.concat(F.lit("$"), F.col(c).cast("string"))
+
+    def tag(name: str, cls: str, body: Column) -> Column:
+        return F.concat(F.lit(f'<{name} class="{cls}">'), body, F.lit(f"</{name}>"))
+
+    def maybe(condition: Column, body: Column) -> Column:
+        return F.coalesce(F.when(condition, body), F.lit(""))
+
+    size_items = F.array_join(
+        F.transform("sizes", lambda s: F.concat(F.lit('<span class="size-option"> '), s, F.lit(" </span>"))),
+        "",
+    )
+    stock = (
+        F.when(F.col("in_stock"), "In Stock")
+        .when(~F.col("in_stock"), "Currently Unavailable")
+        .otherwise("Limited quantities")
+    )
+    ld = F.concat(
+        F.lit('<script type="application/ld+json">{"@type": "Product", "mpn": "'),
+        F.col("mpn"),
+        F.lit('", "brand": {"name": "Labelled"}, "offers": [{"price": "'),
+        F.col("price").cast("string"),
+        F.lit('", "availability": "https://schema.org/OutOfStock"}]}</script>'),
+    )
+    card = F.concat(
+        F.lit('<div class="product-card" data-product-id="'), "sku", F.lit('">'),
+        tag("h3", "product-title", F.concat(F.lit("  "), F.replace("title", F.lit(" "), F.lit(" \n ")))),
+        maybe(F.col("brand").isNotNull(), tag("div", "brand-name", F.col("brand"))),
+        maybe(F.col("mpn").isNotNull(), ld),
+        tag("span", "sale-price", F.concat(F.lit("Now: "), money("price"))),
+        maybe(F.col("msrp").isNotNull(), tag("span", "was-price", money("msrp"))),
+        maybe(F.col("sizes").isNotNull(), tag("div", "size-selector", size_items)),
+        tag("nav", "breadcrumb", F.concat_ws(" > ", F.lit("Home"), "category", "sport")),
+        tag("p", "stock-status", stock),
+        maybe(F.col("coupon_code").isNotNull(),
+              tag("p", "coupon-code", F.concat(F.lit("Use code "), F.col("coupon_code")))),
+        maybe(F.col("promotion_type").isNotNull(), tag("b", "sale-badge", F.lit("Clearance"))),
+        maybe(F.col("age_range").isNotNull(), tag("i", "age-range", F.col("age_range"))),
+        F.lit('<a href="/product/'), "sku", F.lit('?ref=list">View</a></div>'),
+    )
+    other = F.lit(
+        '<div class="product-card"><h3 class="product-title">Coming soon</h3>'
+        '<a href="/soon">View</a></div>'
+    )
+    return d.select(
+        "retailer",
+        F.lit(1).alias("page_num"),
+        F.concat(F.lit("https://land.example/"), "seq").alias("url"),
+        F.concat(F.lit("<html><body>"), card, other, F.lit("</body></html>")).alias("html"),
+        F.col("last_seen").alias("fetched_at"),
+        F.col("id").alias("offer"),
+    )
+
+
+# --- price history and sessions ----------------------------------------------
+
+
+def price_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as price observations: user = deal, value = price."""
+    return table(spark, sf_dir, "events").select(
+        F.concat(F.lit("deal:"), F.col("user_id").cast("string")).alias("deal_id"),
+        F.col("value").cast("decimal(12,2)").alias("price"),
+        F.col("ts").alias("timestamp"),
+        F.col("event_type").alias("retailer"),
+        F.to_date("ts").alias("day"),
+    )
+
+
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as repeated reports on crawl sessions, one session per user and day.
+
+    A report fills only some fields; ``seq`` is the order of the reports.
+    """
+    kind = F.col("event_type")
+    return table(spark, sf_dir, "events").select(
+        F.concat_ws(":", F.col("user_id").cast("string"), F.to_date("ts").cast("string"))
+        .alias("session_id"),
+        F.concat(F.lit("store"), (F.col("user_id") % 10).cast("string")).alias("retailer"),
+        F.to_date("ts").cast("timestamp_ntz").alias("started_at"),
+        F.when(kind == "purchase", F.col("ts")).alias("ended_at"),
+        F.when(kind == "view", F.col("value").cast("int")).alias("pages_scraped"),
+        F.when(kind == "click", F.col("value").cast("int")).alias("items_found"),
+        F.when(kind == "error", F.lit("failed")).when(kind == "purchase", F.lit("completed"))
+        .alias("status"),
+        F.col("event_id").alias("seq"),
+    )
