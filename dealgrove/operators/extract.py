@@ -317,13 +317,24 @@ def parse_cards(pages: DataFrame, sources: DataFrame, id_mode: str = "plain") ->
             "first_seen": seen,
         }
     )
-    checked = deal_constraints(shaped)
+    checked = deal_constraints(_settled(shaped.drop("src", "card", "ld")))
     return checked.withColumn(
         "outcome",
         F.when(F.col("g").isNull(), "skipped")
         .when(F.size("errors") > 0, "invalid")
         .otherwise("deal"),
-    ).drop("src", "card", "g", "ld")
+    ).drop("g")
+
+
+def _settled(df: DataFrame) -> DataFrame:
+    """Compute the columns once per row.
+
+    A filter on a computed column is normally pushed below the projection, which
+    evaluates the column's expression twice; with patterns over markup that is the
+    whole cost of the job. No filter moves below a generator, and this one yields
+    each row as it is.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
 
 
 def extract_deals(pages: DataFrame, sources: DataFrame, id_mode: str = "plain") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,10 +21,12 @@ from ..operators import (
     ranking,
 )
 from ..operators.scoring import SUB_SCORES, score_deals, with_pricing
-from ..session import cut_lineage
+from ..schema import DigestParams
+from ..session import cut_lineage, shared_dir
 from ..sources import pages, tables
+from ..streaming import jobs as jobs_
+from . import digest, pipelines, sample
 from . import oracle as sql
-from . import sample
 from .sample import deals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,19 +126,11 @@ def top_by_category(spark, d):
     return ranking.top_by_category(deals(spark, d)).select("category_group", "rank", "id", "score")
 
 
-NESTED_SQL = (
-    "SELECT *, row_number() OVER (PARTITION BY sport, category_group "
-    f"{_BEST}) AS rank FROM (SELECT *, coalesce(category, 'other') AS category_group, "
-    f"row_number() OVER (PARTITION BY sport {_BEST}) AS sport_rank FROM {{table}} "
-    "WHERE sport IS NOT NULL) WHERE sport_rank <= 8"
-)
-
-
 @query(
     "nested_top",
     sql.with_scored(
         "SELECT sport, category_group, rank, sport_rank, id, score FROM "
-        f"({NESTED_SQL.format(table='scored')}) WHERE rank <= 5"
+        f"({sql.nested('scored')}) WHERE rank <= 5"
     ),
 )
 def nested_top(spark, d):
@@ -735,13 +730,12 @@ query(
 )
 query(
     "sanitize_column",
-    r"SELECT page_id, sha256(CASE WHEN length(t) > 500 THEN substr(t, 1, 497) || '...' ELSE t END) "
-    r"AS html FROM (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, "
+    r"SELECT page_id, sha256(t) AS html FROM (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, "
     r"'<[^>]+>', '', 'g'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), "
     r"'[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', "
     r"' ', 'g')) AS t FROM pages)",
 )(
-    lambda spark, d: quality.sanitize_column(sample.table(spark, d, "pages"), ["html"], 500).select(
+    lambda spark, d: quality.sanitize_column(sample.table(spark, d, "pages"), ["html"]).select(
         "page_id", F.sha2("html", 256).alias("html")
     )
 )
@@ -907,3 +901,217 @@ def extract_deals(spark, d):
 def session_stats(spark, d):
     landed, cards = _parsed(spark, d)
     return extract.session_stats(landed, cards).drop("session_id", "started_at", "ended_at")
+
+
+# --- digest -----------------------------------------------------------------
+
+DIGEST = DigestParams()
+WEEK = "2000-W26"
+
+_DIGEST_CUT = (
+    "SELECT * FROM (SELECT * FROM scored WHERE (discount_pct IS NULL OR discount_pct >= 20) "
+    "AND youth_flag ORDER BY seq LIMIT 100)"
+)
+_DIGEST_ROWS = f"(SELECT * FROM ({sql.nested('(' + _DIGEST_CUT + ')')}) WHERE rank <= 5)"
+
+
+query(
+    "digest_filter",
+    sql.with_scored(f"SELECT id, title FROM ({_DIGEST_CUT})"),
+)(lambda spark, d: digest.digest_filter(deals(spark, d), DIGEST).select("id", "title"))
+
+
+@query(
+    "build_digest",
+    sql.with_scored(
+        f"SELECT sport AS section, category_group AS subsection, rank, id, score FROM {_DIGEST_ROWS}"
+    ),
+)
+def build_digest(spark, d):
+    rows = digest.build_digest(deals(spark, d), DIGEST)
+    return rows.select("section", "subsection", "rank", "id", "score")
+
+
+@query(
+    "digest_by_category",
+    sql.with_scored(
+        "SELECT 'all' AS section, subsection, rank, id, score FROM (SELECT *, "
+        "coalesce(category, 'other') AS subsection, row_number() OVER (PARTITION BY "
+        "coalesce(category, 'other') ORDER BY score DESC, seq) AS rank FROM scored "
+        "WHERE discount_pct IS NULL OR discount_pct >= 20) WHERE rank <= 8"
+    ),
+)
+def digest_by_category(spark, d):
+    params = DigestParams(group_by_sport=False, show_youth_only=False, max_deals_total=0)
+    rows = digest.build_digest(deals(spark, d), params)
+    return rows.select("section", "subsection", "rank", "id", "score")
+
+
+@query(
+    "digest_context",
+    sql.with_scored(
+        "SELECT 'Youth Sports Gear Deals' AS title, '2000-W26' AS week, count(*) AS total_deals, "
+        "count_if(youth_flag) AS youth_deals, count_if(coupon_code <> '') AS coupon_deals, "
+        + sql.round_half_even("avg(discount_pct)", 1)
+        + " AS avg_discount, "
+        + sql.round_half_even("CAST(sum(price) AS DOUBLE) / count(*)", 2)
+        + f" AS avg_price FROM {_DIGEST_ROWS}"
+    ),
+)
+def digest_context(spark, d):
+    rows = digest.build_digest(deals(spark, d), DIGEST)
+    return digest.digest_context(rows, DIGEST, WEEK, at(DEALS_NOW)).select(
+        "title", "week", "total_deals", "youth_deals", "coupon_deals", "avg_discount", "avg_price"
+    )
+
+
+@query(
+    "digest_display",
+    sql.with_scored(
+        "SELECT id, '$' || price AS price_text, CASE WHEN msrp <> 0 THEN '$' || msrp END AS msrp_text, "
+        "CASE WHEN discount_pct <> 0 THEN CAST(round_even(discount_pct, 0) AS BIGINT) || '%' END "
+        "AS discount_text, array_to_string(sizes, ', ') AS sizes_text, "
+        "coalesce(stock_level = 'limited', FALSE) AS limited_badge, coupon_code AS coupon_text, "
+        f"canonical_url AS link FROM {_DIGEST_ROWS}"
+    ),
+)
+def digest_display(spark, d):
+    rows = digest.build_digest(deals(spark, d), DIGEST)
+    return digest.digest_display(rows, DIGEST).select(
+        "id", "price_text", "msrp_text", "discount_text", "sizes_text", "limited_badge",
+        "coupon_text", "link",
+    )
+
+
+@query(
+    "digest_sections",
+    sql.with_scored(
+        "SELECT section, count(*) + count(DISTINCT subsection) AS n_headings FROM "
+        f"(SELECT sport AS section, category_group AS subsection FROM {_DIGEST_ROWS}) GROUP BY 1 "
+        "UNION ALL SELECT unnest(['header', 'summary', 'footer']), 0"
+    ),
+)
+def digest_sections(spark, d):
+    rows = digest.build_digest(deals(spark, d), DIGEST)
+    sections = digest.digest_sections(rows, DIGEST, WEEK, at(DEALS_NOW))
+    return sections.select(
+        "section", F.size(F.regexp_extract_all("body", F.lit("(?m)^(####?) "), F.lit(1))).alias("n_headings")
+    )
+
+
+@query(
+    "newsletter_stats",
+    sql.with_scored(
+        f"SELECT 'sport' AS dimension, sport AS key, count(*) AS n FROM {_DIGEST_ROWS} GROUP BY 2 "
+        f"UNION ALL SELECT 'category', category_group, count(*) FROM {_DIGEST_ROWS} GROUP BY 2 "
+        f"UNION ALL SELECT 'covered', 'sport', count(DISTINCT sport) FROM {_DIGEST_ROWS} "
+        f"UNION ALL SELECT 'covered', 'category', count(DISTINCT category_group) FROM {_DIGEST_ROWS} "
+        f"UNION ALL SELECT 'total', 'deals', count(*) FROM ({_DIGEST_CUT})"
+    ),
+)
+def newsletter_stats(spark, d):
+    return digest.newsletter_stats(deals(spark, d), DIGEST)
+
+
+# --- pipelines --------------------------------------------------------------
+
+
+@query("rank_dedup_digest", sql.with_groups(sql.CANONICAL_DIGEST))
+def rank_dedup_digest(spark, d):
+    """Ranked, deduplicated deals grouped by sport and category."""
+    canonical = dedup.merge_groups(*_scored_groups(spark, d))
+    rows = digest.build_digest(canonical, DigestParams(max_deals_total=0))
+    return rows.select("section", "subsection", "rank", "id", "score")
+
+
+@query("daily_run")
+def daily_run(spark, d):
+    """Pages to an updated deal table, then its best deals of 30 percent and more."""
+    landed = sample.listing_pages(spark, d)
+    clearance = F.contains("html", F.lit("sale-badge"))
+    sites = sample.sources(spark, d)
+    stored, _ = pipelines.fetch(landed.filter(~clearance), sites)
+    base = merge.latest_values(stored, "id", ["seq"])
+    _, best = pipelines.daily(landed.filter(clearance), sites, base)
+    return best.select("id", "title", "discount_pct", "score")
+
+
+# --- streams ----------------------------------------------------------------
+
+
+def _events_stream(spark, d):
+    static = spark.read.parquet(f"{d}/events.parquet")
+    return (
+        spark.readStream.schema(static.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    )
+
+
+def _run_folder(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _observed(events):
+    return events.select(
+        F.concat(F.lit("deal:"), F.col("user_id").cast("string")).alias("deal_id"),
+        F.col("value").cast("decimal(12,2)").alias("price"),
+        F.date_trunc("hour", "ts").alias("timestamp"),
+    )
+
+
+@query(
+    "stream_price_history",
+    "SELECT DISTINCT 'deal:' || user_id AS deal_id, "
+    "strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS seen FROM events",
+)
+def stream_price_history(spark, d):
+    folder = _run_folder(spark, "history")
+    jobs_.stream_price_history(
+        _observed(_events_stream(spark, d)), f"{folder}/data", f"{folder}/checkpoint"
+    ).awaitTermination()
+    written = spark.read.parquet(f"{folder}/data")
+    return written.select("deal_id", F.date_format("timestamp", "yyyy-MM-dd HH").alias("seen"))
+
+
+@query(
+    "stream_upsert",
+    f"WITH {_SESSIONS} SELECT session_id, retailer, ended_at, pages_scraped, items_found, status "
+    "FROM merged",
+)
+def stream_upsert(spark, d):
+    folder = _run_folder(spark, "upsert")
+    reports = sample.session_reports(_events_stream(spark, d))
+    jobs_.stream_upsert(
+        reports, f"{folder}/log", f"{folder}/checkpoint", key="session_id"
+    ).awaitTermination()
+    now = jobs_.current_table(spark, f"{folder}/log", key="session_id")
+    return now.select(
+        "session_id", "retailer",
+        F.date_format("ended_at", "yyyy-MM-dd HH:mm:ss").alias("ended_at"),
+        "pages_scraped", "items_found", "status",
+    )
+
+
+@query(
+    "stream_rolling_stats",
+    "WITH e AS (SELECT event_type AS retailer, ts, event_id % 2 = 0 AS youth, "
+    "CAST(value AS DECIMAL(12,2)) AS price, CAST(500 AS DECIMAL(12,2)) AS msrp, "
+    "date_trunc('hour', ts) - to_hours(unnest(range(24))) AS w FROM events) "
+    "SELECT retailer, strftime(w, '%Y-%m-%d %H') AS window_start, count(*) AS total_deals, "
+    "count_if(youth) AS youth_deals, round(avg(CAST((50000 - CAST(price * 100 AS BIGINT)) * 100 "
+    "AS DOUBLE) / 50000), 6) AS avg_discount FROM e GROUP BY 1, 2",
+)
+def stream_rolling_stats(spark, d):
+    folder = _run_folder(spark, "stats")
+    seen = _events_stream(spark, d).select(
+        F.col("event_type").alias("retailer"),
+        F.col("ts").cast("timestamp").alias("last_seen"),
+        (F.col("event_id") % 2 == 0).alias("youth_flag"),
+        F.col("value").cast("decimal(12,2)").alias("price"),
+        F.lit(500).cast("decimal(12,2)").alias("msrp"),
+    )
+    jobs_.stream_rolling_stats(seen, f"{folder}/data", f"{folder}/checkpoint").awaitTermination()
+    stats = jobs_.latest_stats(spark, f"{folder}/data")
+    return stats.select(
+        "retailer", F.date_format("window_start", "yyyy-MM-dd HH").alias("window_start"),
+        "total_deals", "youth_deals", F.round("avg_discount", 6).alias("avg_discount"),
+    )

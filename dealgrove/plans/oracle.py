@@ -383,3 +383,50 @@ SELECT id AS offer, coalesce('mpn:' || mpn, 'sku:' || sku) AS id, title,
   promotion_type, coupon_code, contains(lower(title), 'small') AS youth_flag,
   CASE WHEN kind <> 1 THEN age_range END AS age_range
 FROM k"""
+
+
+def nested(table: str) -> str:
+    """Top 8 per sport with their rank per category; the caller cuts at 5."""
+    best = "ORDER BY score DESC, seq"
+    return (
+        f"SELECT *, row_number() OVER (PARTITION BY sport, category_group {best}) AS rank FROM "
+        "(SELECT *, coalesce(category, 'other') AS category_group, row_number() OVER "
+        f"(PARTITION BY sport {best}) AS sport_rank FROM {table} WHERE sport IS NOT NULL) "
+        "WHERE sport_rank <= 8"
+    )
+
+
+# Canonical deals keep the base's sizes, title and brand but take the group's best
+# price and details, so they are scored again before the digest.
+_CANONICAL = f"""{BASES},
+merged AS (
+  SELECT m.seed_seq AS seed_seq,
+    any_value(m.seq) FILTER (WHERE place = 1) AS seq,
+    any_value(m.id) FILTER (WHERE place = 1) AS id,
+    any_value(title) FILTER (WHERE place = 1) AS title,
+    any_value(brand) FILTER (WHERE place = 1) AS brand,
+    any_value(sport) FILTER (WHERE place = 1) AS sport,
+    any_value(category) FILTER (WHERE place = 1) AS category,
+    any_value(youth_flag) FILTER (WHERE place = 1) AS youth_flag,
+    any_value(age_range) FILTER (WHERE place = 1) AS age_range,
+    min(price) AS price,
+    {_better("msrp", "max(msrp) FILTER (WHERE msrp <> 0)")} AS msrp,
+    {_better("sizes", "list_sort(list_distinct(flatten(list(sizes) "
+      "FILTER (WHERE sizes IS NOT NULL))))")} AS sizes,
+    {_better("coupon_code", _first_text("coupon_code"))} AS coupon_code,
+    {_better("in_stock", "bool_or(in_stock)")} AS in_stock,
+    {_better("stock_level", "CASE WHEN bool_or(stock_level = 'limited') THEN 'limited' "
+      "ELSE arg_min(stock_level, place) FILTER (WHERE stock_level <> '') END")} AS stock_level
+  FROM members m GROUP BY m.seed_seq
+),
+priced2 AS (SELECT *, {PCT} AS discount_pct FROM merged),
+{PARTS.replace("parts AS", "parts2 AS").replace("FROM priced", "FROM priced2")},
+scored2 AS (
+  SELECT *, {round_half_even(_TOTAL, 1)} AS score FROM parts2
+  WHERE (discount_pct IS NULL OR discount_pct >= 20) AND youth_flag
+)"""
+
+CANONICAL_DIGEST = (
+    f"{_CANONICAL} SELECT sport AS section, category_group AS subsection, rank, id, score "
+    f"FROM ({nested('scored2')}) WHERE rank <= 5"
+)

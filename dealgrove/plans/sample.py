@@ -320,8 +320,12 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A report fills only some fields; ``seq`` is the order of the reports.
     """
+    return session_reports(table(spark, sf_dir, "events"))
+
+
+def session_reports(events: DataFrame) -> DataFrame:
     kind = F.col("event_type")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.concat_ws(":", F.col("user_id").cast("string"), F.to_date("ts").cast("string"))
         .alias("session_id"),
         F.concat(F.lit("store"), (F.col("user_id") % 10).cast("string")).alias("retailer"),
