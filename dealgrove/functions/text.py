@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,8 +28,11 @@ def none_if_empty(text: Column) -> Column:
 
 
 def first_group(text: Column, pattern: str, group: int = 1) -> Column:
-    """First match of ``pattern``; null (not '') when nothing matches."""
-    return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
+    """First match of ``pattern``; null (not '') when nothing matches.
+
+    The text is evaluated once, which matters when it is itself a chain of patterns.
+    """
+    return F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.lit(0))
 
 
 def strip_tags(html: Column) -> Column:
@@ -56,11 +57,10 @@ def truncate(text: Column, length: int) -> Column:
 def contains_any(text: Column, words: list[str]) -> Column:
     """True when any of the words is a substring of ``text``.
 
-    A word that contains another listed word adds nothing, so only the shortest
-    ones are tested.
+    One pattern, so the text is evaluated once. A word that contains another listed
+    word adds nothing and is left out.
     """
-    needed = [w for w in words if not any(o != w and o in w for o in words)]
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in needed])
+    return text.rlike("|".join(w for w in words if not any(o != w and o in w for o in words)))
 
 
 def contains_any_word(text: Column, words: list[str]) -> Column:

@@ -45,18 +45,39 @@ def explode_cards(pages: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def markup(name: str) -> Column:
-    """Inner markup (or attribute value) that the source's pattern ``name`` finds."""
+    """Inner markup (or attribute value) that the source's pattern ``name`` finds, else ''."""
     pattern = F.try_element_at("src.selectors", F.lit(name))
-    return none_if_empty(F.call_function("regexp_extract", F.col("card"), pattern, F.lit(2)))
+    return F.call_function("regexp_extract", F.col("card"), pattern, F.lit(2))
 
 
-def _text(name: str) -> Column:
-    return strip_tags(markup(name))
+# Fields a source's patterns may name.
+FIELDS = (
+    "title", "price", "msrp", "url", "image", "brand", "sizes", "sku", "breadcrumb",
+    "stock", "promo", "coupon", "age", "description", "category",
+)
+_ATTRIBUTES = ("url", "image")
+
+
+def read_fields(cards: DataFrame) -> DataFrame:
+    """Add ``raw`` (markup per field) and ``txt`` (its clean text), '' when absent.
+
+    Each pattern runs once per card; later steps refer to these two columns.
+    """
+    marked = cards.withColumn("raw", F.struct(*[markup(n).alias(n) for n in FIELDS]))
+    return marked.withColumn(
+        "txt",
+        F.struct(
+            *[
+                clean_text(strip_tags(F.col(f"raw.{n}"))).alias(n)
+                for n in FIELDS
+                if n not in _ATTRIBUTES
+            ]
+        ),
+    )
 
 
-def _all_text(name: str) -> Column:
-    """Text of an element whose tags separate words, such as a size list."""
-    return F.regexp_replace(markup(name), r"<[^>]+>", " ")
+def _found(name: str) -> Column:
+    return none_if_empty(F.col(f"txt.{name}"))
 
 
 def extract_fields(cards: DataFrame) -> DataFrame:
@@ -64,42 +85,38 @@ def extract_fields(cards: DataFrame) -> DataFrame:
 
     Title, price and link are required; a price of 0 counts as missing.
     """
-    raw = cards.withColumns(
+    raw = read_fields(cards).withColumns(
         {
-            "_title": none_if_empty(clean_text(_text("title"))),
-            "_price": pricing.parse_price(_text("price")),
-            "_link": markup("url"),
-            "_sizes": sizes.parse_sizes(_all_text("sizes")),
+            "_price": pricing.parse_price(F.col("txt.price")),
+            # Tags separate the entries of a size list.
+            "_sizes": sizes.parse_sizes(F.regexp_replace("raw.sizes", r"<[^>]+>", " ")),
         }
     )
-    base = F.col("src.base_url")
-    title_low = F.lower("_title")
+    base, link, title = F.col("src.base_url"), F.col("raw.url"), F.col("txt.title")
     config_hit = F.exists(
         F.coalesce("src.youth_keywords", F.array().cast("array<string>")),
-        lambda k: F.contains(title_low, F.lower(k)),
+        lambda k: F.contains(F.lower(title), F.lower(k)),
     )
-    youth = product.youth_keywords(F.col("_title")) | config_hit
+    youth = product.youth_keywords(title) | config_hit
     for name in ("description", "category", "breadcrumb"):
-        youth = youth | F.coalesce(product.youth_keywords(_text(name)), F.lit(False))
+        youth = youth | F.coalesce(product.youth_keywords(F.col(f"txt.{name}")), F.lit(False))
     complete = (
-        F.col("_title").isNotNull()
+        (title != "")
         & (F.coalesce("_price", F.lit(0)) != 0)
-        & F.col("_link").isNotNull()
+        & (F.coalesce(link, F.lit("")) != "")
     )
     layer = F.struct(
-        F.col("_title").alias("title"),
+        title.alias("title"),
         F.col("_price").alias("price"),
-        pricing.parse_price(_text("msrp")).alias("msrp"),
-        urls.normalize_url(F.col("_link"), base).alias("canonical_url"),
-        none_if_empty(urls.normalize_url(markup("image"), base)).alias("image_url"),
-        F.coalesce(
-            none_if_empty(clean_text(_text("brand"))), product.brand_from_title(F.col("_title"))
-        ).alias("brand"),
+        pricing.parse_price(F.col("txt.msrp")).alias("msrp"),
+        urls.normalize_url(link, base).alias("canonical_url"),
+        none_if_empty(urls.normalize_url(F.col("raw.image"), base)).alias("image_url"),
+        F.coalesce(_found("brand"), product.brand_from_title(title)).alias("brand"),
         youth.alias("youth_flag"),
         F.when(F.size("_sizes") > 0, F.col("_sizes")).alias("sizes"),
         F.col("src.sport").alias("sport"),
     )
-    return raw.withColumn("g", F.when(complete, layer)).drop("_title", "_price", "_link", "_sizes")
+    return raw.withColumn("g", F.when(complete, layer)).drop("_price", "_sizes")
 
 
 def jsonld_items(html: Column) -> Column:
@@ -197,8 +214,9 @@ def jsonld_product(pages: DataFrame, html: str = "html") -> DataFrame:
 
 def first_rule(text: Column, rules: Column) -> Column:
     """Value of the first rule whose keyword occurs in the text."""
-    low = F.lower(text)
-    return F.get(F.filter(rules, lambda r: F.contains(low, r["keyword"])), F.lit(0))["value"]
+    return F.get(
+        F.filter(rules, lambda r: F.contains(F.lower(text), r["keyword"])), F.lit(0)
+    )["value"]
 
 
 def map_category(text: Column) -> Column:
@@ -218,7 +236,7 @@ def extract_sku() -> Column:
         for a in ("product-id", "sku", "item-id")
     ]
     link = none_if_empty(F.regexp_extract(card, _PRODUCT_LINK, 1))
-    label = none_if_empty(F.trim(F.replace(clean_text(_text("sku")), F.lit("SKU:"), F.lit(""))))
+    label = none_if_empty(F.trim(F.replace(F.col("txt.sku"), F.lit("SKU:"), F.lit(""))))
     from_link = F.coalesce("src.sku_from_link", F.lit(False))
     return F.coalesce(F.when(from_link, link).otherwise(F.coalesce(*attributes)), label)
 
@@ -226,7 +244,7 @@ def extract_sku() -> Column:
 def extract_size_list() -> Column:
     """Texts of the size links and buttons, without the placeholders; null when none."""
     found = F.transform(
-        F.regexp_extract_all(markup("sizes"), F.lit(_SIZE_ITEM), F.lit(1)), clean_text
+        F.regexp_extract_all(F.col("raw.sizes"), F.lit(_SIZE_ITEM), F.lit(1)), clean_text
     )
     holders = F.coalesce("src.size_placeholders", F.array().cast("array<string>"))
     kept = F.filter(found, lambda s: (s != "") & ~F.array_contains(holders, s))
@@ -235,14 +253,12 @@ def extract_size_list() -> Column:
 
 def overlay_layers(cards: DataFrame) -> DataFrame:
     """Merge the layers: generic < JSON-LD < source rules. Cards without ``g`` stay null."""
-    crumb = _text("breadcrumb")
-    stock = first_rule(_text("stock"), F.col("src.stock_rules"))
     steps = cards.withColumns(
         {
-            "_crumb": crumb,
-            "_stock": stock,
+            "_crumb": _found("breadcrumb"),
+            "_stock": first_rule(F.col("txt.stock"), F.col("src.stock_rules")),
             "_size_list": extract_size_list(),
-            "_brand_text": none_if_empty(clean_text(_text("brand"))),
+            "_brand_text": _found("brand"),
             "title": F.when(F.coalesce("ld.has_title", F.lit(False)), F.col("ld.title")).otherwise(
                 F.col("g.title")
             ),
@@ -281,14 +297,14 @@ def overlay_layers(cards: DataFrame) -> DataFrame:
             "in_stock": F.when(F.col("_stock").isin("true", "false"), F.col("_stock") == "true")
             .otherwise(F.col("ld.in_stock")),
             "stock_level": F.when(F.col("_stock") == "limited", F.lit("limited")),
-            "promotion_type": F.lower(none_if_empty(clean_text(_text("promo")))),
-            "coupon_code": product.coupon_code(clean_text(_text("coupon"))),
+            "promotion_type": F.lower(_found("promo")),
+            "coupon_code": product.coupon_code(F.col("txt.coupon")),
             "youth_flag": F.when(any_word("adult_words"), False)
             .when(any_word("youth_words"), True)
             .otherwise(F.col("g.youth_flag")),
             "age_range": F.when(
                 F.coalesce("src.keeps_age_range", F.lit(True)),
-                none_if_empty(clean_text(_text("age"))),
+                _found("age"),
             ),
         }
     ).drop("_crumb", "_stock", "_size_list", "_brand_text")
@@ -317,7 +333,7 @@ def parse_cards(pages: DataFrame, sources: DataFrame, id_mode: str = "plain") ->
             "first_seen": seen,
         }
     )
-    checked = deal_constraints(_settled(shaped.drop("src", "card", "ld")))
+    checked = deal_constraints(_settled(shaped.drop("src", "card", "raw", "txt", "ld")))
     return checked.withColumn(
         "outcome",
         F.when(F.col("g").isNull(), "skipped")
