@@ -288,7 +288,7 @@ CARD = (
 def test_extraction(spark):
     now = datetime(2024, 1, 1)
     ld = ('<script type="application/ld+json">[{{"@type":"Thing"}},{{"@type":"Product","name":"LD {n}",'
-          '"brand":"Own","gtin":"9","image":["//c.example/1.png"],"offers":{{"price":{price},'
+          '"brand":"Own","gtin":"9","image":["https://c.example/1.png"],"offers":{{"price":{price},'
           '"availability":"InStock"}}}}]</script><script type="application/ld+json">{{bad</script>')
     html = "".join([
         "<body><div class='nav'>x</div>",
@@ -317,7 +317,7 @@ def test_extraction(spark):
     ld_deal = got["General", 2]
     assert (ld_deal["title"], ld_deal["brand"], ld_deal["price"], ld_deal["in_stock"]) == (
         "LD Shoe", "Own", Decimal("12.50"), True)
-    assert ld_deal["id"] == "gtin:9" and ld_deal["image_url"] == "//c.example/1.png"
+    assert ld_deal["id"] == "gtin:9" and ld_deal["image_url"] == "https://c.example/1.png"
     stats = {r["retailer"]: r for r in extract.session_stats(landed, extract.parse_cards(landed, sites)).collect()}
     assert (stats["General"]["items_found"], stats["General"]["items_parsed"], stats["General"]["status"]) == (4, 2, "failed")
     assert (stats["Nike"]["pages_scraped"], stats["Nike"]["errors"], stats["Nike"]["success_rate"]) == (0, 1, 0.0)
@@ -348,8 +348,8 @@ def test_digest_modes(make_deals):
     assert flat.count() == 7 and flat.filter("subsection is not null").count() == 0
     now = F.lit("2024-02-03").cast("timestamp")
     parts = digest.digest_sections(entries, DigestParams(), "2024-W05", now).orderBy("section_order").collect()
-    assert [p["section"] for p in parts] == ["header", "summary", "tennis", "soccer", "footer"]
+    assert [p["section"] for p in parts] == ["header", "summary", "soccer", "tennis", "footer"]
     assert "Generated on February 03, 2024" in parts[0]["body"]
     assert "- **4** total deals found" in parts[1]["body"]
-    assert parts[2]["body"].startswith("## Tennis Deals\n\n### Footwear\n\n#### Boot 5\n**Brand:** Nike")
-    assert "**Price:** $45.00 (was $100.00) - **55% OFF**" in parts[2]["body"]
+    assert parts[2]["body"].startswith("## Soccer Deals\n\n### Footwear\n\n#### Boot 4\n**Brand:** Nike")
+    assert "**Price:** $46.00 (was $100.00) - **54% OFF**" in parts[2]["body"]
