@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dealgrove.llm import byte_bpe, packing, quality
+from dealgrove.llm import byte_bpe, licenses, materialise, maxscore, packing, quality, sharding
 
 QUERIES = {
     "op2_byte_bpe": byte_bpe,
     "op3_quality_rules": quality,
+    "op4_training_order": materialise,
+    "op5_maxscore": maxscore,
+    "op6_sharding": sharding,
+    "op9_license_scan": licenses,
     "op10_best_fit_packing": packing,
 }
 
