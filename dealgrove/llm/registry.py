@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dealgrove.llm import byte_bpe, licenses, materialise, maxscore, packing, quality, sharding
+from dealgrove.llm import byte_bpe, licenses, materialise, maxscore, packing, quality, sharding, toxicity
 
 QUERIES = {
     "op2_byte_bpe": byte_bpe,
@@ -14,6 +14,7 @@ QUERIES = {
     "op4_training_order": materialise,
     "op5_maxscore": maxscore,
     "op6_sharding": sharding,
+    "op8_toxicity": toxicity,
     "op9_license_scan": licenses,
     "op10_best_fit_packing": packing,
 }
