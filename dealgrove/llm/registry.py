@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dealgrove.llm import byte_bpe, licenses, materialise, maxscore, packing, quality, sharding, toxicity
+from dealgrove.llm import byte_bpe, licenses, materialise, maxscore, minhash, packing, quality, sharding, toxicity
 
 QUERIES = {
+    "op1_near_dedup": minhash,
     "op2_byte_bpe": byte_bpe,
     "op3_quality_rules": quality,
     "op4_training_order": materialise,
