@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from dealgrove.session import shared_table
 
 #: Documents whose Python objects live at once inside a task.
-GROUP_ROWS = 256
+GROUP_ROWS = 512
 #: Characters after which such a group is closed early, so very long texts come alone.
 GROUP_CHARS = 4_000_000
 
