@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dealgrove.llm import byte_bpe, licenses, materialise, maxscore, minhash, packing, quality, sharding, toxicity
+from dealgrove.llm import byte_bpe, licenses, materialise, maxscore, minhash, packing, quality, sharding, suffixes, toxicity
 
 QUERIES = {
     "op1_near_dedup": minhash,
@@ -15,6 +15,7 @@ QUERIES = {
     "op4_training_order": materialise,
     "op5_maxscore": maxscore,
     "op6_sharding": sharding,
+    "op7_suffix_dedup": suffixes,
     "op8_toxicity": toxicity,
     "op9_license_scan": licenses,
     "op10_best_fit_packing": packing,
