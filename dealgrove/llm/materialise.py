@@ -15,6 +15,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dealgrove.llm.base import groups, offsets, release, spread, stored, table
 from dealgrove.llm.packing import TOKENIZER, token_cache
@@ -111,7 +112,7 @@ def materialise(numbered: DataFrame, path: str, key: int = KEY, shard_rows: int
             index = batch.column(names.index("index")).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(permute(index, total, key))], [*names, "slot"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", slot long"
+    schema = T.StructType(fields).add("slot", T.LongType())
     placed = (
         numbered.select(*names)
         .mapInArrow(run, schema)

@@ -16,6 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dealgrove.llm.base import groups, release, stored, table
 from dealgrove.llm.materialise import mix
@@ -119,7 +120,7 @@ def signatures(elements: np.ndarray, weights: np.ndarray, sizes: np.ndarray, k:
 
 
 def sketch(docs: DataFrame, weigh: str = "set", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """All columns in ``row``, with text, doc_id, ``node`` (equal shingle sets, equal node) and band keys.
+    """All columns but text in ``row``, with null_text, text, doc_id, ``node`` (equal shingle sets, equal node) and band keys.
 
     ``weigh`` is ``set`` (a shingle weighs 1) or ``count`` (as often as it occurs). Texts without
     words have no bands; they and null texts are one node.
@@ -145,8 +146,9 @@ def sketch(docs: DataFrame, weigh: str = "set", bands: int = BANDS, rows: int =
                         keys[i] = row
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], [*part.schema.names, "node", "bands"])
 
-    given = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    schema = f"row {given.schema['row'].dataType.simpleString()}, doc_id long, text string, node binary, bands array<bigint>"
+    other = [docs[f"`{c}`"] for c in docs.columns if c != "text"]
+    given = docs.select(F.struct(*other).alias("row"), docs["text"].isNull().alias("null_text"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    schema = T.StructType([*given.schema, T.StructField("node", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
     return given.mapInArrow(run, schema)
 
 
@@ -244,11 +246,11 @@ def link(nodes: DataFrame, similarity: float = SIMILARITY, small: int = SMALL_BU
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weigh: str = "set") -> DataFrame:
-    """``row`` (all given columns), doc_id, class_id and kept for every row.
+    """All given columns, class_id and kept for every row.
 
     Rows are of one class if a chain of pairs with a similarity of ``similarity`` or more of
     their five-word shingle sets joins them; equal sets always are, null and wordless texts too.
-    class_id is the least doc_id of the class (null if all are null); the row with that doc_id is
+    A column class_id or kept that was there before gives way. class_id is the least doc_id of the class (null if all are null); the row with that doc_id is
     kept, the first of several. An empty table gives no rows.
     """
     sketched = stored(sketch(docs, weigh).withColumn("uid", F.monotonically_increasing_id()), "sketches")
@@ -261,8 +263,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weigh: str
     heads = stored(placed.groupBy("comp").agg(F.min("first").alias("head")), "heads")
     known = stored(placed.join(heads, "comp").select("node", "head"), "node_classes")
     class_id = F.when(F.col("head.doc_id") < 2**63 - 1, F.col("head.doc_id"))
-    done = sketched.select("row", "doc_id", "uid", "node").join(known, "node")
-    return done.select("row", "doc_id", class_id.alias("class_id"), (F.col("uid") == F.col("head.uid")).alias("kept"))
+    done = sketched.select("row", "null_text", "text", "uid", "node").join(known, "node")
+    text = F.when(~F.col("null_text"), F.col("text")).alias("text")
+    given = [text if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c not in ("class_id", "kept")]
+    return done.select(*given, class_id.alias("class_id"), (F.col("uid") == F.col("head.uid")).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

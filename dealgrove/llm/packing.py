@@ -21,6 +21,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dealgrove.llm.base import groups, numbered, stored, table
 from dealgrove.llm.chunks import ChunkIds
@@ -264,8 +265,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     kept = [f for f in ranked.schema if f.name != "index"]
     out_names = [f.name for f in kept] + ["sequence_id", "offset"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return ranked.select(*[f.name for f in kept], "index").mapInArrow(run, f"{schema}, sequence_id long, offset long")
+    schema = T.StructType(kept).add("sequence_id", T.LongType()).add("offset", T.LongType())
+    return ranked.select(*[f.name for f in kept], "index").mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

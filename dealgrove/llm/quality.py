@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dealgrove.llm.base import groups, stored, table
 
@@ -84,16 +85,20 @@ def repeated_words(words: list[bytes]) -> int:
     return int(cover.sum())
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """doc_id and the counts of every row; a null text counts as empty."""
+def measure(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id and the counts of every row (null text: empty); ``carry`` adds all columns as ``row``."""
+    names = ["doc_id", *COUNTS, *(["row"] if carry else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in groups(batch):
                 counts = np.array([text_counts(t) for t in texts], np.int64).T
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *map(pa.array, counts)], ["doc_id", *COUNTS])
+                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, counts), *part.columns[2:]], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
+    row = [F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")] if carry else []
+    given = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], *row)
+    schema = T.StructType([given.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in COUNTS], *given.schema[2:]])
+    return given.mapInArrow(run, schema)
 
 
 def _vote(value: Column, good: Column, poor: Column) -> Column:
@@ -154,16 +159,17 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tup
     return weight, right, float(share)
 
 
-def judge(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def judge(docs: DataFrame, threshold: float = THRESHOLD, carry: bool = False) -> DataFrame:
     """doc_id, the counts, base_failed, posterior and kept for every row of ``docs``.
 
+    ``carry`` adds all columns of the row as ``row``.
     The pattern counts cover all documents; there are at most 3 to the number of rules of them.
     Only documents that pass the base limits train the estimate; those that fail are never kept.
     A null or empty text has no words and fails. Repeated rows come out repeated.
     """
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     rules = votes()
-    counted = stored(measure(docs), "quality").withColumn("base_failed", failed)
+    counted = stored(measure(docs, carry), "quality").withColumn("base_failed", failed)
     voted = counted.withColumns({f"vote_{k}": v for k, v in rules.items()})
     names = [f"vote_{k}" for k in rules]
     rows = voted.where("not base_failed").groupBy(*names).agg(F.count("*").alias("n")).collect()
@@ -179,6 +185,11 @@ def judge(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return voted.withColumn("posterior", posterior).withColumn("kept", F.col("posterior") >= threshold)
 
 
+def filter_kept(docs: DataFrame) -> DataFrame:
+    """The rows of docs that are kept, with all their columns."""
+    return judge(docs, carry=True).where("kept").select("row.*")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = judge(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", *COUNTS[:5], "base_failed", "kept", "posterior")

@@ -265,6 +265,22 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column) -> Model | None
     return fit([WORD.findall(t) for t, _ in rows], toxic)
 
 
+def _scores(model: Model | None, texts: list[str], odds: Odds | None) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Scores of whole texts and their words' marginals; without a model 0 and none."""
+    if model is None:
+        return np.zeros(len(texts)), [np.zeros(0)] * len(texts)
+    chance, p = chances(model, [t.split() for t in texts], odds)
+    return model.score(chance), p
+
+
+def spans_of(text: str, p: np.ndarray) -> list[dict]:
+    """Places and probabilities of the words whose marginal reaches the span threshold."""
+    if not p.size or p.max() < SPAN_THRESHOLD:
+        return []
+    words = zip(WORD.finditer(text), p.tolist(), strict=True)
+    return [{"start": m.start(), "end": m.end(), "probability": q} for m, q in words if q >= SPAN_THRESHOLD]
+
+
 def tag(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, score (0 to 1) and spans (start and end in characters, probability) of every row.
 
@@ -272,30 +288,35 @@ def tag(docs: DataFrame, model: Model | None) -> DataFrame:
     model every score is 0. Repeated rows come out repeated; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    cache: dict[int, Odds] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        odds = cache.setdefault(0, Odds(model)) if model else None
+        odds = Odds(model) if model else None
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())]))
         for batch in batches:
             for part, texts in groups(batch):
-                scores, spans = np.zeros(len(texts)), [[] for _ in texts]
-                if model:
-                    words = [t.split() for t in texts]
-                    chance, p = chances(model, words, odds)
-                    scores = model.score(chance)
-                    for i, each in enumerate(p):
-                        if each.size and each.max() >= SPAN_THRESHOLD:
-                            hit = set(np.flatnonzero(each >= SPAN_THRESHOLD).tolist())
-                            found = (m for k, m in enumerate(WORD.finditer(texts[i])) if k in hit)
-                            spans[i] = [{"start": m.start(), "end": m.end(), "probability": q} for m, q in zip(found, each[sorted(hit)].tolist(), strict=True)]
-                kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())]))
+                scores, p = _scores(model, texts, odds)
+                spans = [spans_of(t, each) for t, each in zip(texts, p, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64()), pa.array(spans, kind)], ["doc_id", "score", "spans"])
 
     schema = "doc_id long, score double, spans array<struct<start:int,end:int,probability:double>>"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
+def filter_toxic(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of docs whose score stays below the threshold, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        odds = Odds(model) if model else None
+        for batch in batches:
+            for part, texts in groups(batch):
+                yield part.filter(pa.array(_scores(model, texts, odds)[0] < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out() -> Column:
     """Whether a row's labels are kept from learning; a null id has none."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
