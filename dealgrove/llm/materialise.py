@@ -112,7 +112,7 @@ def materialise(numbered: DataFrame, path: str, key: int = KEY, shard_rows: int
             index = batch.column(names.index("index")).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(permute(index, total, key))], [*names, "slot"])
 
-    schema = T.StructType(fields).add("slot", T.LongType())
+    schema = T.StructType([*fields]).add("slot", T.LongType())
     placed = (
         numbered.select(*names)
         .mapInArrow(run, schema)

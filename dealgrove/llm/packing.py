@@ -265,7 +265,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     kept = [f for f in ranked.schema if f.name != "index"]
     out_names = [f.name for f in kept] + ["sequence_id", "offset"]
-    schema = T.StructType(kept).add("sequence_id", T.LongType()).add("offset", T.LongType())
+    schema = T.StructType([*kept]).add("sequence_id", T.LongType()).add("offset", T.LongType())
     return ranked.select(*[f.name for f in kept], "index").mapInArrow(run, schema)
 
 
