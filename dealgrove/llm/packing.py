@@ -121,7 +121,7 @@ class Plan:
         self.sizes = sorted(self.left)
         self.bins: list[tuple[tuple[int, ...], int]] = []
         self.reduce()
-        self.n_fixed = sum(n for _, n in self.bins)
+        self.n_fixed, self.n_fixed_runs = sum(n for _, n in self.bins), len(self.bins)
         self.best_fit()
 
     def _take(self, lengths: tuple[int, ...], n: int) -> None:
