@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +25,8 @@ SHINGLE_WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 5
 #: Nodes of a bucket up to which all its pairs of different components are compared at once.
 SMALL_BUCKET = 32
+#: Components of a larger bucket whose most popular nodes all others are compared with.
+CENTRES = 8
 #: Rank at which the first cell of darts ends, and the widest cell.
 FIRST_CELL, WIDEST_CELL = 1 / 64, 16.0
 
@@ -195,8 +197,9 @@ def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
         old = named
         near = both.join(old.select(F.col("nid").alias("b"), "comp"), "b").groupBy(F.col("a").alias("nid")).agg(F.min("comp").alias("near"))
         passed = old.join(near, "nid", "left").select("nid", F.col("comp").alias("was"), F.least("comp", F.coalesce("near", "comp")).alias("comp"))
+        passed = stored(passed, "passed")
         # Whoever bears a label takes what the label's own node, and all its bearers, have found.
-        best = passed.groupBy("was").agg(F.min("comp").alias("best"))
+        best = stored(passed.groupBy("was").agg(F.min("comp").alias("best")), "best")
         named = stored(passed.join(best, "was").select("nid", "was", F.col("best").alias("comp")), "components")
         changed = named.where("was <> comp").limit(1).count()
         named = named.select("nid", "comp")
@@ -204,45 +207,62 @@ def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
             return named
 
 
+def _joined(members: DataFrame, labels: DataFrame, texts: DataFrame, centres: DataFrame, similarity: float) -> DataFrame:
+    """Labels after comparing all members of buckets with the centres of their bucket."""
+    own = members.join(labels, "nid").select("key", F.col("nid").alias("b"), F.col("comp").alias("y"))
+    pairs = own.join(centres, "key").where("a <> b AND x <> y")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = stored(verified(pairs, texts, similarity), "links")
+    return components(links, labels) if links.limit(1).count() else labels
+
+
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members (with comp) of buckets that hold several components, and the bucket's size."""
+    named = stored(members.join(labels, "nid"), "named")
+    sizes = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"))
+    return stored(named.join(stored(sizes.where("low < high").select("key", "n"), "mixed_keys"), "key"), "mixed")
+
+
 def link(nodes: DataFrame, similarity: float = SIMILARITY, small: int = SMALL_BUCKET) -> DataFrame:
     """(nid, comp) for nodes (nid, bands, text) that share a band with another one.
 
-    In every bucket all nodes are compared with one centre; what that links is one component.
-    Buckets that still hold several components are compared pair by pair between components
-    if they are small; larger ones are split by a further band each, and so on, so the work of
-    a level stays in proportion to its nodes and no bucket is left out.
+    All nodes of a bucket are compared with its centre, the node that meets most others over all
+    its bands. Where a bucket then still holds several components, a small one has all pairs of
+    different components compared, a large one each node with the centres of its ``CENTRES``
+    most popular components. Large buckets that stay mixed are split by a second band that has to
+    agree as well, and treated so once more. The work stays in proportion to the nodes of a bucket.
     """
-    banded = stored(nodes.select("nid", F.posexplode("bands").alias("band", "key")), "bands")
-    shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = stored(banded.join(shared, "key").select("key", "nid"), "buckets")
-    texts = stored(nodes.select("nid", "text").join(members.select("nid").distinct(), "nid"), "bucket_texts")
+    banded = stored(nodes.select("nid", F.explode("bands").alias("key")), "bands")
+    sizes = stored(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "bucket_sizes")
+    met = stored(banded.join(sizes, "key"), "met")
+    popular = stored(met.groupBy("nid").agg(F.sum("n").alias("pop")), "popular")
+    members = met.select("key", "nid")
+    texts = stored(nodes.select("nid", "text").join(popular.select("nid"), "nid"), "bucket_texts")
     release(nodes.sparkSession)
-    labels = stored(texts.select("nid", F.col("nid").alias("comp")), "labels")
-    level = 0
-    while True:
-        centres = members.groupBy("key").agg(F.min("nid").alias("a"))
-        named = members.join(labels, "nid")
-        star = named.join(centres, "key").where("nid <> a").select("a", F.col("nid").alias("b"), "comp").distinct()
-        star = star.join(labels.select(F.col("nid").alias("a"), F.col("comp").alias("comp_a")), "a").where("comp <> comp_a").select("a", "b")
-        labels = components(stored(verified(star, texts, similarity), "links"), labels)
-        named = members.join(labels, "nid")
-        mixed = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n")
-        mixed = stored(named.join(mixed, "key").select("key", "nid", "comp", "n"), "mixed")
-        few = mixed.where(F.col("n") <= small)
-        left, right = few.select("key", F.col("nid").alias("a"), F.col("comp").alias("x")), few.select("key", F.col("nid").alias("b"), F.col("comp").alias("y"))
-        close = left.join(right, "key").where("a < b AND x <> y").select("a", "b").distinct()
-        links = stored(verified(close, texts, similarity), "links")
-        if links.limit(1).count():
-            labels = components(links, labels)
-        level += 1
-        large = mixed.where(F.col("n") > small).select("key", "nid")
-        if level == BANDS or not large.limit(1).count():
-            return labels
-        # Nodes of a large bucket meet again only where a further band agrees as well.
-        further = large.join(banded.withColumnRenamed("key", "more"), "nid")
-        finer = further.where("key <> more").select(F.xxhash64(F.least("key", "more"), F.greatest("key", "more")).alias("key"), "nid").distinct()
-        again = finer.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-        members = stored(finer.join(again, "key"), "finer_buckets")
+    labels = stored(popular.select("nid", F.col("nid").alias("comp")), "labels")
+    top = F.max(F.struct("pop", (-F.col("nid")).alias("first"), "comp")).alias("top")
+    for level in range(2):
+        ranked = stored(members.join(popular, "nid").select("key", "nid", "pop"), "ranked")
+        centre = ranked.withColumn("comp", F.col("nid")).groupBy("key").agg(top)
+        centre = centre.select("key", (-F.col("top.first")).alias("nid")).join(labels, "nid")
+        labels = _joined(members, labels, texts, stored(centre.select("key", F.col("nid").alias("a"), F.col("comp").alias("x")), "centres"), similarity)
+        mixed = _mixed(members, labels)
+        few = mixed.where(F.col("n") <= small).select("key", F.col("nid").alias("a"), F.col("comp").alias("x"))
+        many = mixed.where(F.col("n") > small).join(popular, "nid")
+        place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("top")))
+        heads = many.groupBy("key", "comp").agg(top).withColumn("place", place).where(F.col("place") <= CENTRES)
+        heads = heads.select("key", (-F.col("top.first")).alias("a"), F.col("comp").alias("x"))
+        labels = _joined(mixed.select("key", "nid"), labels, texts, stored(few.union(heads), "centres"), similarity)
+        if level == 0:
+            large = _mixed(mixed.where(F.col("n") > small).select("key", "nid"), labels)
+            if not large.limit(1).count():
+                break
+            both = large.select("key", "nid").join(met.select("nid", F.col("key").alias("more")), "nid").where("key <> more")
+            finer = both.select(F.xxhash64(F.least("key", "more"), F.greatest("key", "more")).alias("key"), "nid").distinct()
+            finer = stored(finer, "finer")
+            again = stored(finer.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "finer_keys")
+            members = stored(finer.join(again, "key"), "finer_buckets")
+    return labels
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weigh: str = "set") -> DataFrame:
