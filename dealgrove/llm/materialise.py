@@ -1,6 +1,6 @@
 """Training order on disk: a keyed permutation gives every sequence its slot, shards hold them.
 
-Documents are sorted by id and cut into sequences of a fixed stride. A Feistel network over
+Documents are cut into sequences of a fixed stride and numbered. A Feistel network over
 the next power of four permutes the sequence numbers; walking its cycle until the value is
 small enough keeps it a permutation of exactly the numbers in use. Shards are written in slot
 order with equal strides, so a reader seeks to any slot and goes on from there.
@@ -11,13 +11,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from dealgrove.llm.base import groups, offsets, release, spread, stored, table
+from dealgrove.llm.base import groups, offsets, spread, stored, table
 from dealgrove.llm.packing import TOKENIZER, token_cache
 from dealgrove.session import shared_table
 
@@ -59,10 +59,11 @@ def permute(index: np.ndarray, total: int, key: int = KEY, back: bool = False) -
 def sequences(docs: DataFrame, path: str, stride: int = STRIDE) -> DataFrame:
     """doc_id, piece, length, tokens (little-endian 16-bit, always ``stride`` of them) and index.
 
-    A document is its ids and the end id. ``index`` numbers the sequences from 0 in the order of
-    doc_id (nulls first), the text's hash and piece; it does not depend on how rows lay.
+    A document is its ids and the end id. ``index`` numbers the sequences from 0 without gaps, the
+    pieces of a document in a row, documents as they lie in the input; it is fixed by the table
+    that is written here, so nothing that is computed again can change it. Null and empty
+    texts are the end id alone, repeated rows are sequences each.
     """
-    spark = docs.sparkSession
     fill = np.array([END], "<u2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,14 +85,8 @@ def sequences(docs: DataFrame, path: str, stride: int = STRIDE) -> DataFrame:
                 columns = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    in_order = (
-        docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tie"))
-        .repartitionByRange(spread(spark), "doc_id", "tie")
-        .sortWithinPartitions("doc_id", "tie")
-        .select("doc_id", "text")
-    )
-    made = stored(in_order.mapInArrow(run, "doc_id long, piece int, length int, tokens binary, __part long, at long"), "sequences")
-    release(spark)
+    given = docs.select(F.col("doc_id").cast("long"), "text")
+    made = stored(given.mapInArrow(run, "doc_id long, piece int, length int, tokens binary, __part long, at long"), "sequences")
     before = offsets(made.groupBy("__part").agg(F.count("*").alias("__n")))
     return made.join(before, "__part").withColumn("index", F.col("__before") + F.col("at")).drop("__part", "__before", "at")
 
@@ -104,22 +99,22 @@ def materialise(numbered: DataFrame, path: str, key: int = KEY, shard_rows: int
     """
     spark = numbered.sparkSession
     total = numbered.count()
-    fields = [f for f in numbered.schema if f.name not in ("slot", "shard", "row")]
-    names = [f.name for f in fields]
+    names = [c for c in numbered.columns if c not in ("slot", "shard", "row")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            index = batch.column(names.index("index")).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(permute(index, total, key))], [*names, "slot"])
+    @F.pandas_udf("long")
+    def slot_of(index: pd.Series) -> pd.Series:
+        return pd.Series(permute(index.to_numpy(), total, key))
 
-    schema = T.StructType([*fields]).add("slot", T.LongType())
     placed = (
         numbered.select(*names)
-        .mapInArrow(run, schema)
+        .withColumn("slot", slot_of("index"))
         .withColumn("shard", F.expr(f"slot div {shard_rows}"))
         .withColumn("row", (F.col("slot") % shard_rows).cast("int"))
     )
-    ordered = placed.repartitionByRange(spread(spark), "shard").sortWithinPartitions("shard", "row")
+    # Shards are of one size, so equal runs of shards are even partitions without sampling.
+    parts = spread(spark)
+    part = F.expr(f"int(shard * {parts} div {total // shard_rows + 1})")
+    ordered = placed.repartitionById(parts, part).sortWithinPartitions("shard", "row")
     ordered.write.partitionBy("shard").option("compression", "zstd").parquet(path)
     return spark.read.schema(placed.schema).parquet(path)
 
