@@ -2,7 +2,7 @@
 
 Documents with equal texts are one node; nodes that share a line of some length are linked
 through it, so no pairs are ever listed. Each round a line offers the shard that holds most of
-its documents, a node wants the shard most of its lines offer, and quotas between shards
+its documents and has room, a node wants the shard most of its lines offer, and quotas between shards
 let only so many move that no shard outgrows its capacity. At last the rows are sorted by shard
 and cluster and cut into runs of equal counts, which makes the row counts exact and splits at
 most one cluster at each border.
@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 
 from dealgrove.llm.base import numbered, stored, table
 
-SHARDS, ROUNDS = 16, 6
+SHARDS, ROUNDS = 16, 8
 #: Characters from which a line links documents.
 LINE_CHARS = 20
 #: Share that a shard may hold above the mean while nodes move.
-SLACK = 0.05
+SLACK = 0.25
 #: Copies of a line's offer: one for so many links, so that a very common line is read by many tasks.
 LINKS_PER_COPY = 2000
 
@@ -61,10 +61,14 @@ def propagate(nodes: DataFrame, linked: DataFrame, shards: int, rounds: int) ->
     for turn in range(rounds):
         held = linked.join(placed, "node")
         counts = held.groupBy("line", "shard").agg(F.sum("weight").alias("w"), F.max("copies").alias("copies"))
-        # Equal counts go by a hash of line and shard, so that no shard is favoured.
-        best = F.max(F.struct("w", F.xxhash64("line", "shard").alias("tie"), "shard"))
-        offer = counts.groupBy("line").agg(best.alias("b"), F.max("copies").alias("copies"))
-        offer = offer.select("line", F.col("b.shard").alias("to"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+        # A full shard has to hold more of a line to be offered than one with room (of equal
+        # ones a hash decides, so that no shard is favoured). A line meets each shard once.
+        load = {r[0]: r[1] for r in placed.groupBy("shard").agg(F.sum("weight")).collect()}
+        free = F.array(*[F.lit(max(0.0, 1 - load.get(k, 0) / max(capacity, 1))) for k in range(shards)])
+        met = counts.groupBy("line").agg(F.collect_list(F.struct("shard", "w")).alias("met"), F.sum("w").alias("all"), F.max("copies").alias("copies"))
+        value = lambda x: F.round(x["w"] / F.col("all") + F.element_at(free, x["shard"] + 1), 6)
+        rank = F.transform("met", lambda x: F.struct(value(x).alias("value"), F.xxhash64("line", x["shard"]).alias("tie"), x["shard"].alias("shard")))
+        offer = met.select("line", F.array_max(rank)["shard"].alias("to"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
         votes = linked.join(offer, ["line", "copy"]).groupBy("node", "to").agg(F.count("*").alias("v"))
         # The own shard is left only for one with more votes.
         joined = votes.join(placed, "node").withColumn("own", (F.col("to") == F.col("shard")).cast("int"))
@@ -73,7 +77,6 @@ def propagate(nodes: DataFrame, linked: DataFrame, shards: int, rounds: int) ->
             want.join(placed, "node").where("b.to <> shard").select("node", "weight", "shard", F.col("b.to").alias("to")),
             "wanted_moves",
         )
-        load = {r[0]: r[1] for r in placed.groupBy("shard").agg(F.sum("weight")).collect()}
         asked = {(r[0], r[1]): r[2] for r in want.groupBy("shard", "to").agg(F.sum("weight")).collect()}
         share = F.lit(0.0)
         for (a, b), w in sorted(asked.items()):
