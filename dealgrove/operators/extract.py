@@ -377,8 +377,8 @@ def page_stats(cards: DataFrame, pages: DataFrame) -> DataFrame:
 def session_stats(pages: DataFrame, cards: DataFrame) -> DataFrame:
     """One run per retailer: pages, items found and parsed, errors, status and rates.
 
-    Pages that failed to load (null html) and invalid items are errors; a run is
-    completed only without any.
+    Only pages that failed to load (null html) are errors, and a run without any is completed;
+    an item that fails the deal constraints is found but not parsed.
     """
     seen = pages.groupBy("retailer").agg(
         F.count_if(F.col("html").isNotNull()).alias("pages_scraped"),
@@ -389,14 +389,13 @@ def session_stats(pages: DataFrame, cards: DataFrame) -> DataFrame:
     parsed = cards.groupBy("retailer").agg(
         F.count(F.lit(1)).alias("items_found"),
         F.count_if(F.col("outcome") == "deal").alias("items_parsed"),
-        F.count_if(F.col("outcome") == "invalid").alias("bad_items"),
     )
     zero = F.lit(0).cast("bigint")
     both = seen.join(parsed, "retailer", "left").withColumns(
         {
             "items_found": F.coalesce("items_found", zero),
             "items_parsed": F.coalesce("items_parsed", zero),
-            "errors": F.col("failed_pages") + F.coalesce("bad_items", zero),
+            "errors": F.col("failed_pages"),
         }
     )
     rate = F.col("items_parsed").cast("double") / F.nullif("items_found", zero).cast("double") * 100

@@ -354,15 +354,9 @@ query("duplicate_pairs", f"WITH {sql.ALL_PAIRS} SELECT * FROM pairs")(
     lambda spark, d: pairing.duplicate_pairs(deals(spark, d))
 )
 
-_GROUPS: dict[tuple[str, str], DataFrame] = {}
-
-
 def _groups(spark, d):
-    """Groups of the sample, computed once per application and kept as a checkpoint."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _GROUPS:
-        _GROUPS[key] = cut_lineage(dedup.duplicate_groups(deals(spark, d)))
-    return _GROUPS[key]
+    """Groups of the sample, cut off from the rounds that found them."""
+    return cut_lineage(dedup.duplicate_groups(deals(spark, d)))
 
 
 def _scored_groups(spark, d):
@@ -1016,11 +1010,10 @@ def newsletter_stats(spark, d):
 # --- pipelines --------------------------------------------------------------
 
 
-@query("rank_dedup_digest", sql.with_groups(sql.CANONICAL_DIGEST))
+@query("rank_dedup_digest", sql.with_ranked_groups(sql.CANONICAL_DIGEST))
 def rank_dedup_digest(spark, d):
     """Ranked, deduplicated deals grouped by sport and category."""
-    canonical = dedup.merge_groups(*_scored_groups(spark, d))
-    rows = digest.build_digest(canonical, DigestParams(max_deals_total=0))
+    rows = pipelines.rank_dedup_digest(deals(spark, d), DigestParams(max_deals_total=0))
     return rows.select("section", "subsection", "rank", "id", "score")
 
 
@@ -1036,6 +1029,15 @@ def daily_run(spark, d):
     return best.select("id", "title", "discount_pct", "score")
 
 
+@query("weekly_run")
+def weekly_run(spark, d):
+    """What a daily run has stored, as the sections of the weekly digest."""
+    landed = sample.listing_pages(spark, d)
+    base = merge.latest_values(pipelines.fetch(landed, sample.sources(spark, d))[0], "id", ["seq"])
+    sections = pipelines.weekly(cut_lineage(base.drop("seq")), WEEK, at(DEALS_NOW), DIGEST)
+    return sections.select("section_order", "section", F.length("body").alias("n_chars"))
+
+
 # --- streams ----------------------------------------------------------------
 
 

@@ -46,10 +46,10 @@ def _sizes() -> str:
 
 
 SEQ = (
-    "concat_ws('-', lpad(CAST(l_orderkey AS VARCHAR), 12, '0'), "
-    "lpad(CAST(l_linenumber AS VARCHAR), 2, '0'), lpad(CAST(l_partkey AS VARCHAR), 10, '0'), "
-    "lpad(CAST(l_suppkey AS VARCHAR), 9, '0'), "
-    "lpad(CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR), 12, '0'))"
+    "concat_ws('-', lpad(CAST(l_orderkey AS VARCHAR), 19, '0'), "
+    "lpad(CAST(l_linenumber AS VARCHAR), 10, '0'), lpad(CAST(l_partkey AS VARCHAR), 19, '0'), "
+    "lpad(CAST(l_suppkey AS VARCHAR), 19, '0'), "
+    "lpad(CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR), 19, '0'))"
 )
 
 DEALS = f"""
@@ -289,6 +289,31 @@ groups AS MATERIALIZED (
 )"""
 
 
+# The same over the ranked list: deals below the discount minimum are gone, founders are the
+# best-scored ones.
+RANKED_GROUPS = f"""
+ranked AS MATERIALIZED (
+  SELECT seq, row_number() OVER (ORDER BY score DESC, seq) AS r FROM scored
+  WHERE discount_pct IS NULL OR discount_pct >= 20
+),
+edges AS MATERIALIZED (
+  SELECT r AS a, r AS b FROM ranked
+  UNION ALL SELECT x.r, y.r FROM pairs JOIN ranked x ON x.seq = left_seq JOIN ranked y ON y.seq = right_seq
+  UNION ALL SELECT y.r, x.r FROM pairs JOIN ranked x ON x.seq = left_seq JOIN ranked y ON y.seq = right_seq
+),
+{GROUPS[GROUPS.index("rounds AS") : GROUPS.index("groups AS")]}
+groups AS MATERIALIZED (
+  SELECT x.seq AS seq, y.seq AS seed_seq FROM (
+    SELECT e.a, min(e.b) AS b FROM edges e
+    JOIN (SELECT a FROM rounds WHERE kind = 'seed') s ON e.b = s.a GROUP BY e.a) g
+  JOIN ranked x ON x.r = g.a JOIN ranked y ON y.r = g.b
+)"""
+
+
+def with_ranked_groups(select: str) -> str:
+    return f"WITH RECURSIVE {ALL_PAIRS}, {RANKED_GROUPS}\n{select}"
+
+
 def with_groups(select: str) -> str:
     return f"WITH RECURSIVE {ALL_PAIRS}, {GROUPS}\n{select}"
 
@@ -316,7 +341,13 @@ def _first_text(column: str) -> str:
     return f"coalesce({own}, arg_min({column}, place) FILTER (WHERE {column} <> ''))"
 
 
-MERGED = f"""{BASES}
+MERGED = f"""{BASES},
+others AS (
+  SELECT seed_seq, string_agg(retailer, ',' ORDER BY place) AS alternate_retailers FROM (
+    SELECT m.seed_seq, m.retailer, min(place) AS place FROM members m
+    JOIN bases b ON m.seed_seq = b.seed_seq WHERE m.retailer <> base_retailer GROUP BY ALL)
+  GROUP BY seed_seq
+)
 SELECT m.seed_seq, any_value(m.id) FILTER (WHERE place = 1) AS id, count(*) AS group_size,
   CAST(min(price) AS DOUBLE) AS price,
   CAST({_better("msrp", "max(msrp) FILTER (WHERE msrp <> 0)")} AS DOUBLE) AS msrp,
@@ -329,9 +360,8 @@ SELECT m.seed_seq, any_value(m.id) FILTER (WHERE place = 1) AS id, count(*) AS g
     "ELSE arg_min(stock_level, place) FILTER (WHERE stock_level <> '') END")} AS stock_level,
   CAST(CAST(max(last_seen) AS DATE) AS VARCHAR) AS last_seen,
   CAST(CAST({_better("first_seen", "min(first_seen)")} AS DATE) AS VARCHAR) AS first_seen,
-  string_agg(retailer, ',' ORDER BY place) FILTER (WHERE retailer <> base_retailer)
-    AS alternate_retailers
-FROM members m JOIN bases b ON m.seed_seq = b.seed_seq GROUP BY m.seed_seq"""
+  any_value(alternate_retailers) AS alternate_retailers
+FROM members m LEFT JOIN others o ON m.seed_seq = o.seed_seq GROUP BY m.seed_seq"""
 
 
 def luhn(column: str, digits: int) -> str:
@@ -401,7 +431,7 @@ def nested(table: str) -> str:
 _CANONICAL = f"""{BASES},
 merged AS (
   SELECT m.seed_seq AS seed_seq,
-    any_value(m.seq) FILTER (WHERE place = 1) AS seq,
+    any_value(k.r) FILTER (WHERE place = 1) AS seq,
     any_value(m.id) FILTER (WHERE place = 1) AS id,
     any_value(title) FILTER (WHERE place = 1) AS title,
     any_value(brand) FILTER (WHERE place = 1) AS brand,
@@ -417,7 +447,7 @@ merged AS (
     {_better("in_stock", "bool_or(in_stock)")} AS in_stock,
     {_better("stock_level", "CASE WHEN bool_or(stock_level = 'limited') THEN 'limited' "
       "ELSE arg_min(stock_level, place) FILTER (WHERE stock_level <> '') END")} AS stock_level
-  FROM members m GROUP BY m.seed_seq
+  FROM members m JOIN ranked k ON k.seq = m.seq GROUP BY m.seed_seq
 ),
 priced2 AS (SELECT *, {PCT} AS discount_pct FROM merged),
 {PARTS.replace("parts AS", "parts2 AS").replace("FROM priced", "FROM priced2")},

@@ -58,11 +58,11 @@ def seq_key() -> Column:
     """Fixed-width text whose order is the order of the line items; unique per row."""
     return F.concat_ws(
         "-",
-        F.lpad(F.col("l_orderkey").cast("string"), 12, "0"),
-        F.lpad(F.col("l_linenumber").cast("string"), 2, "0"),
-        F.lpad(F.col("l_partkey").cast("string"), 10, "0"),
-        F.lpad(F.col("l_suppkey").cast("string"), 9, "0"),
-        F.lpad(F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string"), 12, "0"),
+        F.lpad(F.col("l_orderkey").cast("string"), 19, "0"),
+        F.lpad(F.col("l_linenumber").cast("string"), 10, "0"),
+        F.lpad(F.col("l_partkey").cast("string"), 19, "0"),
+        F.lpad(F.col("l_suppkey").cast("string"), 19, "0"),
+        F.lpad(F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string"), 19, "0"),
     )
 
 

@@ -157,4 +157,4 @@ class DigestParams:
     show_youth_only: bool = True
     include_images: bool = True
     include_coupons: bool = True
-    formats: tuple[str, ...] = field(default=("html", "markdown"))
+    formats: tuple[str, ...] = field(default=("markdown",))
