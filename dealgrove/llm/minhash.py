@@ -24,9 +24,12 @@ from dealgrove.llm.materialise import mix
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 5
 #: Nodes of a bucket up to which all its pairs of different components are compared at once.
-SMALL_BUCKET = 32
+SMALL_BUCKET = 6
 #: Components of a larger bucket whose most popular nodes all others are compared with.
-CENTRES = 8
+CENTRES = 3
+#: Pairs whose signatures agree in less than the similarity minus so much are not looked at further:
+#: four standard deviations of the estimate.
+MARGIN = 0.13
 #: Rank at which the first cell of darts ends, and the widest cell.
 FIRST_CELL, WIDEST_CELL = 1 / 64, 16.0
 
@@ -122,7 +125,8 @@ def signatures(elements: np.ndarray, weights: np.ndarray, sizes: np.ndarray, k:
 
 
 def sketch(docs: DataFrame, weigh: str = "set", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """All columns but text in ``row``, with null_text, text, doc_id, ``node`` (equal shingle sets, equal node) and band keys.
+    """All columns but text in ``row``, with null_text, text, doc_id, ``node`` (equal shingle sets, equal node), band keys
+    and ``low``, the lowest byte of each coordinate.
 
     ``weigh`` is ``set`` (a shingle weighs 1) or ``count`` (as often as it occurs). Texts without
     words have no bands; they and null texts are one node.
@@ -136,6 +140,7 @@ def sketch(docs: DataFrame, weigh: str = "set", bands: int = BANDS, rows: int =
                 sets = [shingles(t, hashes) for t in texts]
                 nodes = [xxhash.xxh3_128_digest(s[0].tobytes() + (s[1].tobytes() if weigh == "count" else b"")) for s in sets]
                 keys: list[list[int]] = [[] for _ in texts]
+                short = [b""] * len(texts)
                 full = [i for i, s in enumerate(sets) if s[0].size]
                 if full:
                     weights = [sets[i][1].astype(float) if weigh == "count" else np.ones(sets[i][0].size) for i in full]
@@ -144,18 +149,37 @@ def sketch(docs: DataFrame, weigh: str = "set", bands: int = BANDS, rows: int =
                     key = np.repeat(base[None], len(full), 0)
                     for r in range(rows):
                         key = mix(key + sig.reshape(len(full), bands, rows)[:, :, r].astype(np.uint64))
-                    for i, row in zip(full, key.view(np.int64).tolist(), strict=True):
-                        keys[i] = row
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], [*part.schema.names, "node", "bands"])
+                    low = sig.astype(np.uint8)
+                    for i, row, bits in zip(full, key.view(np.int64).tolist(), low, strict=True):
+                        keys[i], short[i] = row, bits.tobytes()
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(short, pa.binary())], [*part.schema.names, "node", "bands", "low"])
 
     other = [docs[f"`{c}`"] for c in docs.columns if c != "text"]
     given = docs.select(F.struct(*other).alias("row"), docs["text"].isNull().alias("null_text"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    schema = T.StructType([*given.schema, T.StructField("node", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*given.schema, T.StructField("node", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("low", T.BinaryType())])
     return given.mapInArrow(run, schema)
 
 
+def likely(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose signatures agree in so many coordinates at least, by their low bytes."""
+    a, b = (texts.select(F.col("nid").alias(c), F.col("low").alias(f"low_{c}")) for c in "ab")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
+                same = ((x == y).mean(axis=1) - 1 / 256) / (1 - 1 / 256)  # bytes agree by chance, too
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(same >= least)) for c in batch.columns[:2]], ["a", "b"])
+
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "low_a", "low_b").mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are at least so similar."""
+    """The pairs (a, b) whose shingle sets are at least so similar.
+
+    Signatures that agree far too little rule a pair out before its texts are fetched.
+    """
+    pairs = stored(likely(pairs, texts, similarity - MARGIN), "likely_pairs")
     a = texts.select(F.col("nid").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("nid").alias("b"), F.col("text").alias("text_b"))
 
@@ -237,7 +261,7 @@ def link(nodes: DataFrame, similarity: float = SIMILARITY, small: int = SMALL_BU
     met = stored(banded.join(sizes, "key"), "met")
     popular = stored(met.groupBy("nid").agg(F.sum("n").alias("pop")), "popular")
     members = met.select("key", "nid")
-    texts = stored(nodes.select("nid", "text").join(popular.select("nid"), "nid"), "bucket_texts")
+    texts = stored(nodes.select("nid", "text", "low").join(popular.select("nid"), "nid"), "bucket_texts")
     release(nodes.sparkSession)
     labels = stored(popular.select("nid", F.col("nid").alias("comp")), "labels")
     top = F.max(F.struct("pop", (-F.col("nid")).alias("first"), "comp")).alias("top")
@@ -276,7 +300,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weigh: str
     sketched = stored(sketch(docs, weigh).withColumn("uid", F.monotonically_increasing_id()), "sketches")
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "uid"))
     nodes = stored(sketched.groupBy("node").agg(first.alias("first"), F.min("uid").alias("nid")), "nodes")
-    chosen = sketched.where(F.size("bands") > 0).select("uid", "bands", "text").join(nodes.select(F.col("nid").alias("uid")), "uid")
+    chosen = sketched.where(F.size("bands") > 0).select("uid", "bands", "low", "text").join(nodes.select(F.col("nid").alias("uid")), "uid")
     labels = link(chosen.withColumnRenamed("uid", "nid"), similarity)
     placed = nodes.join(labels, "nid", "left").select("node", "first", F.coalesce("comp", "nid").alias("comp"))
     placed = stored(placed, "placed")
