@@ -261,7 +261,8 @@ def link(nodes: DataFrame, similarity: float = SIMILARITY, small: int = SMALL_BU
     met = stored(banded.join(sizes, "key"), "met")
     popular = stored(met.groupBy("nid").agg(F.sum("n").alias("pop")), "popular")
     members = met.select("key", "nid")
-    texts = stored(nodes.select("nid", "text", "low").join(popular.select("nid"), "nid"), "bucket_texts")
+    # Texts meet tables that grow with them: a merge join at every size, never a broadcast.
+    texts = stored(nodes.select("nid", "text", "low").join(popular.select("nid").hint("merge"), "nid"), "bucket_texts")
     release(nodes.sparkSession)
     labels = stored(popular.select("nid", F.col("nid").alias("comp")), "labels")
     top = F.max(F.struct("pop", (-F.col("nid")).alias("first"), "comp")).alias("top")
@@ -300,7 +301,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weigh: str
     sketched = stored(sketch(docs, weigh).withColumn("uid", F.monotonically_increasing_id()), "sketches")
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "uid"))
     nodes = stored(sketched.groupBy("node").agg(first.alias("first"), F.min("uid").alias("nid")), "nodes")
-    chosen = sketched.where(F.size("bands") > 0).select("uid", "bands", "low", "text").join(nodes.select(F.col("nid").alias("uid")), "uid")
+    chosen = sketched.where(F.size("bands") > 0).select("uid", "bands", "low", "text").join(nodes.select(F.col("nid").alias("uid")).hint("merge"), "uid")
     labels = link(chosen.withColumnRenamed("uid", "nid"), similarity)
     placed = nodes.join(labels, "nid", "left").select("node", "first", F.coalesce("comp", "nid").alias("comp"))
     placed = stored(placed, "placed")
