@@ -25,8 +25,10 @@ SHINGLE_WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 5
 #: Nodes of a bucket up to which all its pairs of different components are compared at once.
 SMALL_BUCKET = 6
-#: Components of a larger bucket whose most popular nodes all others are compared with.
+#: Components of a larger bucket whose most popular nodes all others are compared with first.
 CENTRES = 3
+#: Nodes of a block: what larger buckets still hold apart is compared block by block.
+BLOCK = 1024
 #: Pairs whose signatures agree in less than the similarity minus so much are not looked at further:
 #: four standard deviations of the estimate.
 MARGIN = 0.13
@@ -160,6 +162,11 @@ def sketch(docs: DataFrame, weigh: str = "set", bands: int = BANDS, rows: int =
     return given.mapInArrow(run, schema)
 
 
+def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Estimates of the similarity by low bytes, of which some agree by chance, too."""
+    return ((x == y).mean(axis=-1) - 1 / 256) / (1 - 1 / 256)
+
+
 def likely(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose signatures agree in so many coordinates at least, by their low bytes."""
     a, b = (texts.select(F.col("nid").alias(c), F.col("low").alias(f"low_{c}")) for c in "ab")
@@ -168,18 +175,13 @@ def likely(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
-                same = ((x == y).mean(axis=1) - 1 / 256) / (1 - 1 / 256)  # bytes agree by chance, too
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(same >= least)) for c in batch.columns[:2]], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(alike(x, y) >= least)) for c in batch.columns[:2]], ["a", "b"])
 
     return pairs.join(b, "b").join(a, "a").select("a", "b", "low_a", "low_b").mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are at least so similar.
-
-    Signatures that agree far too little rule a pair out before its texts are fetched.
-    """
-    pairs = stored(likely(pairs, texts, similarity - MARGIN), "likely_pairs")
+    """The pairs (a, b) whose shingle sets are at least so similar."""
     a = texts.select(F.col("nid").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("nid").alias("b"), F.col("text").alias("text_b"))
 
@@ -231,13 +233,63 @@ def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
             return named
 
 
-def _joined(members: DataFrame, labels: DataFrame, texts: DataFrame, centres: DataFrame, similarity: float) -> DataFrame:
-    """Labels after comparing all members of buckets with the centres of their bucket."""
+def _joined(pairs: DataFrame, labels: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Labels after verifying pairs (a, b)."""
+    links = stored(verified(pairs, texts, similarity), "links")
+    return components(links, labels) if links.limit(1).count() else labels
+
+
+def _met(members: DataFrame, labels: DataFrame, texts: DataFrame, centres: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of members of buckets with the centres of their bucket.
+
+    Signatures that agree far too little rule a pair out before its texts are fetched.
+    """
     own = members.join(labels, "nid").select("key", F.col("nid").alias("b"), F.col("comp").alias("y"))
     pairs = own.join(centres, "key").where("a <> b AND x <> y")
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = stored(verified(pairs, texts, similarity), "links")
-    return components(links, labels) if links.limit(1).count() else labels
+    return stored(likely(pairs, texts, similarity - MARGIN), "likely_pairs")
+
+
+def _blocks(mixed: DataFrame, texts: DataFrame, least: float, closest: bool) -> DataFrame:
+    """Likely pairs (a, b) of different components in the buckets ``mixed``, each pair once.
+
+    The nodes of a bucket are dealt to blocks, and each two blocks meet in one group, so no group
+    grows with the bucket. A pair counts in the first of its common bands only. With ``closest``
+    a group gives just the most alike pair of each two components.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK)
+    own = mixed.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("nid"), "blocks"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "nid", "comp")
+    dealt = dealt.join(texts.select("nid", "bands", "low"), "nid").select("key", "i", "j", "own", "nid", "comp", "bands", "low")
+
+    def run(group: pa.Table) -> pa.Table:
+        key, i, j = (group.column(k)[0].as_py() for k in range(3))
+        own, nid, comp = (group.column(k).to_numpy() for k in (3, 4, 5))
+        n = group.num_rows
+        bands = group.column(6).combine_chunks().flatten().to_numpy().reshape(n, -1)
+        low = np.frombuffer(b"".join(group.column(7).to_pylist()), np.uint8).reshape(n, -1)
+        found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for r in range(n - 1):
+            ok = comp[r + 1 :] != comp[r]
+            if i != j:
+                ok &= own[r + 1 :] != own[r]
+            with_ = np.flatnonzero(ok) + r + 1
+            with_ = with_[bands[r][(bands[with_] == bands[r]).argmax(axis=1)] == key]
+            same = alike(low[with_], low[r])
+            good = same >= least
+            with_ = with_[good]
+            found.append((np.full(len(with_), r), with_, same[good]))
+        a, b, same = (np.concatenate(c) for c in zip(*found, strict=True))
+        if closest:
+            x, y = np.minimum(comp[a], comp[b]), np.maximum(comp[a], comp[b])
+            order = np.lexsort((-same, y, x))
+            x, y = x[order], y[order]
+            order = order[np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])][: len(order)]]
+            a, b = a[order], b[order]
+        return pa.table({"a": np.minimum(nid[a], nid[b]), "b": np.maximum(nid[a], nid[b])})
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -253,8 +305,10 @@ def link(nodes: DataFrame, similarity: float = SIMILARITY, small: int = SMALL_BU
     All nodes of a bucket are compared with its centre, the node that meets most others over all
     its bands. Where a bucket then still holds several components, a small one has all pairs of
     different components compared, a large one each node with the centres of its ``CENTRES``
-    most popular components. Large buckets that stay mixed are split by a second band that has to
-    agree as well, and treated so once more. The work stays in proportion to the nodes of a bucket.
+    most popular components. Large buckets that stay mixed then have their closest pair of each
+    two components compared, and at last all pairs of different components that were not yet: no
+    likely pair of a bucket is left out. Only that last step can grow with the square of a bucket,
+    where it holds many texts that are alike and yet not near.
     """
     banded = stored(nodes.select("nid", F.explode("bands").alias("key")), "bands")
     sizes = stored(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "bucket_sizes")
@@ -262,31 +316,33 @@ def link(nodes: DataFrame, similarity: float = SIMILARITY, small: int = SMALL_BU
     popular = stored(met.groupBy("nid").agg(F.sum("n").alias("pop")), "popular")
     members = met.select("key", "nid")
     # Texts meet tables that grow with them: a merge join at every size, never a broadcast.
-    texts = stored(nodes.select("nid", "text", "low").join(popular.select("nid").hint("merge"), "nid"), "bucket_texts")
+    texts = stored(nodes.select("nid", "text", "low", "bands").join(popular.select("nid").hint("merge"), "nid"), "bucket_texts")
     release(nodes.sparkSession)
     labels = stored(popular.select("nid", F.col("nid").alias("comp")), "labels")
     top = F.max(F.struct("pop", (-F.col("nid")).alias("first"), "comp")).alias("top")
-    for level in range(2):
-        ranked = stored(members.join(popular, "nid").select("key", "nid", "pop"), "ranked")
-        centre = ranked.withColumn("comp", F.col("nid")).groupBy("key").agg(top)
-        centre = centre.select("key", (-F.col("top.first")).alias("nid")).join(labels, "nid")
-        labels = _joined(members, labels, texts, stored(centre.select("key", F.col("nid").alias("a"), F.col("comp").alias("x")), "centres"), similarity)
-        mixed = _mixed(members, labels)
-        few = mixed.where(F.col("n") <= small).select("key", F.col("nid").alias("a"), F.col("comp").alias("x"))
-        many = mixed.where(F.col("n") > small).join(popular, "nid")
-        place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("top")))
-        heads = many.groupBy("key", "comp").agg(top).withColumn("place", place).where(F.col("place") <= CENTRES)
-        heads = heads.select("key", (-F.col("top.first")).alias("a"), F.col("comp").alias("x"))
-        labels = _joined(mixed.select("key", "nid"), labels, texts, stored(few.union(heads), "centres"), similarity)
-        if level == 0:
-            large = _mixed(mixed.where(F.col("n") > small).select("key", "nid"), labels)
-            if not large.limit(1).count():
-                break
-            both = large.select("key", "nid").join(met.select("nid", F.col("key").alias("more")), "nid").where("key <> more")
-            finer = both.select(F.xxhash64(F.least("key", "more"), F.greatest("key", "more")).alias("key"), "nid").distinct()
-            finer = stored(finer, "finer")
-            again = stored(finer.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "finer_keys")
-            members = stored(finer.join(again, "key"), "finer_buckets")
+    ranked = stored(members.join(popular, "nid").select("key", "nid", "pop"), "ranked")
+    centre = ranked.withColumn("comp", F.col("nid")).groupBy("key").agg(top)
+    centre = centre.select("key", (-F.col("top.first")).alias("nid")).join(labels, "nid")
+    centre = stored(centre.select("key", F.col("nid").alias("a"), F.col("comp").alias("x")), "centres")
+    tried = _met(members, labels, texts, centre, similarity)
+    labels = _joined(tried, labels, texts, similarity)
+    mixed = _mixed(members, labels)
+    few = mixed.where(F.col("n") <= small).select("key", F.col("nid").alias("a"), F.col("comp").alias("x"))
+    many = mixed.where(F.col("n") > small).join(popular, "nid")
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("top")))
+    heads = many.groupBy("key", "comp").agg(top).withColumn("place", place).where(F.col("place") <= CENTRES)
+    heads = heads.select("key", (-F.col("top.first")).alias("a"), F.col("comp").alias("x"))
+    pairs = _met(mixed.select("key", "nid"), labels, texts, stored(few.union(heads), "centres"), similarity)
+    tried = tried.union(pairs)
+    labels = _joined(pairs, labels, texts, similarity)
+    large = mixed.where(F.col("n") > small).select("key", "nid")
+    for closest in (True, False):
+        left = _mixed(large, labels)
+        pairs = _blocks(left, texts, similarity - MARGIN, closest).join(tried, ["a", "b"], "left_anti")
+        pairs = stored(pairs, "block_pairs")
+        tried = tried.union(pairs)
+        labels = _joined(pairs, labels, texts, similarity)
+        large = left.select("key", "nid")
     return labels
 
 

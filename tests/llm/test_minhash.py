@@ -92,3 +92,30 @@ def test_buckets_are_split_until_small(spark):
     got = {r.nid: r.comp for r in minhash.link(sketched, small=3).collect()}
     want = dict(zip(range(40), classes(nodes), strict=True))
     assert all(got.get(i, i) == want[i] for i in range(40))
+
+
+def test_boilerplate_family(spark):
+    """Texts of one form meet in one bucket only; each is near just one other, and none is popular."""
+    form = prose(6, 100)
+    pairs = []
+    for i in range(150):
+        text = form + " " + prose(1000 + i, 60)
+        pairs += [(2 * i, text), (2 * i + 1, changed(text, 60 + i % 80))]
+    want = classes(pairs)
+    assert len(set(want)) == 150
+    nodes = minhash.sketch(table(spark, *pairs)).selectExpr("doc_id as nid", "array(-1L, doc_id) as bands", "low", "text")
+    got = {r.nid: r.comp for r in minhash.link(nodes).collect()}
+    assert [got.get(i, i) for i, _ in pairs] == want
+
+
+def test_blocks_give_each_pair_once(spark, monkeypatch):
+    """However a bucket is cut into blocks, all likely pairs of different components come out once."""
+    base = prose(7, 200)
+    nodes = minhash.sketch(table(spark, *[(i, changed(base, i, 190 - i)) for i in range(40)])).selectExpr("doc_id as nid", "bands", "low", "text").cache()
+    rows = {r.nid: set(r.bands) for r in nodes.collect()}
+    mixed = nodes.selectExpr("nid", "explode(bands) as key", "nid % 7 as comp", "40L as n")
+    want = sorted((a, b) for b in rows for a in range(b) if a % 7 != b % 7 and rows[a] & rows[b])
+    for size in (7, 1024):
+        monkeypatch.setattr(minhash, "BLOCK", size)
+        got = sorted(tuple(r) for r in minhash._blocks(mixed, nodes, 0.0, False).collect())
+        assert got == want
