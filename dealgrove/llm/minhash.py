@@ -30,8 +30,8 @@ CENTRES = 3
 #: Nodes of a block: what larger buckets still hold apart is compared block by block.
 BLOCK = 1024
 #: Pairs whose signatures agree in less than the similarity minus so much are not looked at further:
-#: four standard deviations of the estimate.
-MARGIN = 0.13
+#: five standard deviations of the estimate, a chance (1e-6) below that of no common band.
+MARGIN = 0.16
 #: Rank at which the first cell of darts ends, and the widest cell.
 FIRST_CELL, WIDEST_CELL = 1 / 64, 16.0
 

@@ -119,3 +119,14 @@ def test_blocks_give_each_pair_once(spark, monkeypatch):
         monkeypatch.setattr(minhash, "BLOCK", size)
         got = sorted(tuple(r) for r in minhash._blocks(mixed, nodes, 0.0, False).collect())
         assert got == want
+
+
+def test_margin_loses_less_than_banding():
+    """At the similarity itself, signatures that agree too little are rarer than pairs without a common band."""
+    from math import comb
+
+    n, p = minhash.BANDS * minhash.ROWS, minhash.SIMILARITY
+    least = minhash.SIMILARITY - minhash.MARGIN
+    agree = p + (1 - p) / 256  # low bytes
+    lost = sum(comb(n, i) * agree**i * (1 - agree) ** (n - i) for i in range(n + 1) if (i / n - 1 / 256) / (1 - 1 / 256) < least)
+    assert lost < (1 - p**minhash.ROWS) ** minhash.BANDS
