@@ -66,7 +66,7 @@ ofl-1.1: (sil )?open font( #1 1)?
 openssl: openssl | ssleay
 php-3.01: php #3 0?1
 psf-2.0: python software foundation( #2( 0)?)? | psf( #2( 0)?)?
-ruby: ruby s?
+ruby: ruby( s)?
 vim: vim
 zpl-2.1: zope public #2 1 | zpl 2 1
 ms-pl: microsoft public | ms pl

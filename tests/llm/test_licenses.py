@@ -61,3 +61,8 @@ def test_sample(spark):
 def test_there_are_hundreds_of_rules_and_all_compile():
     rules = licenses.rules()
     assert len(rules) > 200 and all(re.compile(r[4]) for r in rules)
+
+
+def test_ruby_is_found_with_and_without_a_possessive():
+    for words in ("ruby license", "licensed under ruby", "spdx license identifier ruby", "ruby s license"):
+        assert any(label == "ruby" and re.search(f"(?<= )(?:{pattern})(?= )", f" {words} ") for label, *_, pattern, _ in licenses.rules())
