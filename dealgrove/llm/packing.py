@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import bisect
 import json
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -79,6 +81,31 @@ def token_cache(path: str) -> ChunkIds:
     return ChunkIds(encode)
 
 
+@lru_cache(maxsize=2)
+def text_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
+    """Whole texts to their ids (little-endian 32-bit), as ``tokenizers`` gives them by default.
+
+    The file's special tokens that stand in a text become their own ids, and what lies between
+    them is encoded piece by piece.
+    """
+    with open(path, encoding="utf-8") as f:
+        added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in json.load(f)["added_tokens"] if t["special"]}
+    cache = token_cache(path)
+    # The longest of several that begin at one place.
+    found = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True))) or "(?!)")
+
+    def encode(texts: list[str]) -> list[bytes]:
+        out = cache.ids_of([t if not found.search(t) else "" for t in texts])
+        for i, t in enumerate(texts):
+            if found.search(t):
+                between = cache.ids_of(found.split(t))
+                marks = [added[m] for m in found.findall(t)] + [b""]
+                out[i] = b"".join(chain.from_iterable(zip(between, marks, strict=True)))
+        return out
+
+    return encode
+
+
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n tokens: full ones, but for the first."""
     first = n % capacity or capacity

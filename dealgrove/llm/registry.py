@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dealgrove.llm import byte_bpe, licenses, materialise, maxscore, minhash, packing, quality, sharding, suffixes, toxicity
+from dealgrove.llm import (
+    byte_bpe,
+    licenses,
+    masks,
+    materialise,
+    maxscore,
+    minhash,
+    negatives,
+    packing,
+    quality,
+    sharding,
+    suffixes,
+    toxicity,
+    windows,
+)
 
 QUERIES = {
     "op1_near_dedup": minhash,
@@ -19,6 +33,9 @@ QUERIES = {
     "op8_toxicity": toxicity,
     "op9_license_scan": licenses,
     "op10_best_fit_packing": packing,
+    "op11_hard_negatives": negatives,
+    "op12_presence_masks": masks,
+    "op13_sum_of_squares_packing": windows,
 }
 
 
