@@ -46,6 +46,12 @@ def is_youth_sized(youth_flag: Column, sizes: Column) -> Column:
     return youth_flag | token | ((F.size(numeric) > 0) & in_range)
 
 
+def size_set(sizes: Column) -> Column:
+    """The sizes as they are compared: trimmed, upper case, distinct, sorted; none is an empty list."""
+    plain = F.array_distinct(F.transform(sizes, lambda s: F.trim(F.upper(s))))
+    return F.sort_array(F.coalesce(plain, F.array().cast("array<string>")))
+
+
 def sizes_overlap(a: Column, b: Column) -> Column:
     """Missing or empty on either side counts as overlap; else the upper/trim sets meet."""
 

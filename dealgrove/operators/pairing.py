@@ -10,29 +10,27 @@ Two deals are duplicates when any of five rules holds:
           prices within 10 %, overlapping sizes
 
 An OR of these would plan as a nested loop, so each rule is an equi-join of its
-own: the identifier rules on the identifier, the exact rule on (title, brand,
-price bucket), the fuzzy rule on (similar title, price bucket). Price buckets are
-one tolerance wide, so partners sit in the same or a neighbouring bucket. Similar
-titles are found once per distinct title of a block with a prefix filter that
-loses nothing. Keys with very many rows are split over tasks by a salt.
+own: the identifier rules on the identifier, the exact rule on (title, brand, node
+of the price tree), the fuzzy rule on (similar title, node). Similar titles are found
+once per distinct title of a block. Keys with very many rows are split over tasks.
+
+The ``*_links`` functions say who matches whom without listing pairs: a row for each
+deal, the class it belongs to and the number of its partners.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import similarity
 from ..functions.numbers import cents
-from ..functions.pricing import price_similar
-from ..functions.sizes import sizes_overlap
+from ..functions.price_tree import covering_nodes, listed_nodes
+from ..functions.sizes import size_set, sizes_overlap
+from .joins import sliced_join
+from .titles import similar_titles
 
 EXACT_PCT = 5
 FUZZY_PCT = 10
-# Rows of one key that a single task handles before the key is split.
-ROWS_PER_SLICE = 20_000
 
 _SEP = "\x1f"
 _NULL = "\x00"
@@ -60,46 +58,6 @@ def comparable(deals: DataFrame) -> DataFrame:
     )
 
 
-def bucket(price_c: Column, tolerance_pct: int) -> Column:
-    """Log-price bucket one tolerance wide; free deals share bucket -1."""
-    t = tolerance_pct
-    width = math.log((200 + t) / (200 - t)) * (1 + 1e-9)
-    return F.when(price_c <= 0, F.lit(-1)).otherwise(
-        F.floor(F.ln(F.greatest(price_c, F.lit(1)).cast("double")) / width) + 1
-    )
-
-
-def near_buckets(price_c: Column, tolerance_pct: int) -> Column:
-    """The buckets that can hold a partner."""
-    b = bucket(price_c, tolerance_pct)
-    return F.when(price_c <= 0, F.array(b)).otherwise(F.array(b - 1, b, b + 1))
-
-
-def sliced_join(
-    left: DataFrame, right: DataFrame, keys: list[str], rows_per_slice: int = ROWS_PER_SLICE
-) -> DataFrame:
-    """Inner equi-join that splits hot keys.
-
-    A key with more than ``rows_per_slice`` left rows is cut into slices: left rows
-    take one slice each, right rows are copied to all of them. The list of hot keys
-    is at most (left rows / rows_per_slice) long and carries no broadcast hint.
-    """
-    hot = (
-        left.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > rows_per_slice)
-        .select(*keys, F.ceil(F.col("_n") / rows_per_slice).cast("int").alias("_slices"))
-    )
-    slices = F.coalesce("_slices", F.lit(1))
-    dealt = left.join(hot, keys, "left").withColumn(
-        "_slice", F.pmod(F.xxhash64(*left.columns), slices).cast("int")
-    )
-    copied = right.join(hot, keys, "left").withColumn(
-        "_slice", F.explode(F.sequence(F.lit(0), slices - 1))
-    )
-    return dealt.drop("_slices").join(copied.drop("_slices"), [*keys, "_slice"]).drop("_slice")
-
-
 def _partners(rows: DataFrame, suffix: str, keep: list[str]) -> DataFrame:
     return rows.select(*[F.col(c).alias(c + suffix) if c not in keep else F.col(c) for c in rows.columns])
 
@@ -127,123 +85,44 @@ def sku_pairs(deals: DataFrame) -> DataFrame:
     return identifier_pairs(comparable(deals), "sku_key")
 
 
+def _near(comp: DataFrame, columns: list[str], pct: int, suffix: str) -> DataFrame:
+    """Rows under each node that holds their price (``_r``) or that their tolerance reads (``_l``)."""
+    nodes = covering_nodes if suffix == "_l" else listed_nodes
+    rows = comp.select(*columns, F.explode(nodes(F.col("price_c"), pct)).alias("node"))
+    return _partners(rows, suffix, ["node"])
+
+
 def exact_pairs(deals: DataFrame) -> DataFrame:
-    rows = comparable(deals).select("exact_key", "seq", "price_c")
-    left = _partners(rows, "_l", ["exact_key"]).withColumn(
-        "bucket", F.explode(near_buckets(F.col("price_c_l"), EXACT_PCT))
-    )
-    right = _partners(rows, "_r", ["exact_key"]).withColumn(
-        "bucket", bucket(F.col("price_c_r"), EXACT_PCT)
-    )
+    comp = comparable(deals)
+    left = _near(comp, ["exact_key", "seq", "price_c"], EXACT_PCT, "_l").withColumnRenamed("exact_key_l", "exact_key")
+    right = _near(comp, ["exact_key", "seq", "price_c"], EXACT_PCT, "_r").withColumnRenamed("exact_key_r", "exact_key")
     return (
-        sliced_join(left, right, ["exact_key", "bucket"])
+        sliced_join(left, right, ["exact_key", "node"])
         .filter(F.col("seq_l") < F.col("seq_r"))
-        .filter(price_similar(F.col("price_c_l"), F.col("price_c_r"), EXACT_PCT))
         .select(F.col("seq_l").alias("left_seq"), F.col("seq_r").alias("right_seq"))
     )
 
 
-# --- similar titles ---------------------------------------------------------
-
-# Letters from rare to common in English text; anything else counts as rarer.
-_LETTERS = "zqxjkvbpygfwmucldrhsnioate "
-
-
-def letter_tokens(text: Column) -> Column:
-    """Every character with its occurrence number ('e2' is the second e), rare ones first.
-
-    Two texts share exactly as many tokens as their character bags overlap, which
-    bounds their common subsequence from above.
-    """
-    letters = similarity.chars(text)
-
-    def numbered(c: Column) -> Column:
-        count = F.size(F.filter(letters, lambda d: d == c))
-        return F.transform(
-            F.sequence(F.lit(1), count),
-            lambda k: F.struct((-k).alias("k"), F.instr(F.lit(_LETTERS), c).alias("r"), c.alias("c")),
-        )
-
-    tokens = F.flatten(F.transform(F.array_distinct(letters), numbered))
-    return F.transform(
-        F.sort_array(tokens), lambda t: F.concat(t["c"], (-t["k"]).cast("string"))
-    )
-
-
-def similar_titles(comp: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """All (title_key, near_key) of one block with similarity >= threshold, both ways
-    round and including each title with itself.
-
-    With m percent required, a common subsequence is longer than (2m-1)/400 of both
-    lengths together, so of n characters at least n(2m-1)/(401-2m) are shared with
-    any partner; the rarest n - that + 1 tokens of both titles then have one in common.
-    """
-    m2 = 2 * similarity.min_percent(threshold) - 1
-    titles = comp.select("block", "title_key", "title_low").distinct()
-    n = F.length("title_low")
-    needed = F.ceil(n * m2 / (400 - m2))
-    rich = (
-        titles.withColumn("n", n)
-        .withColumn("tokens", letter_tokens(F.col("title_low")))
-        .withColumn("prefix", F.slice("tokens", F.lit(1), (F.col("n") - needed + 1).cast("int")))
-        .withColumn("token", F.explode("prefix"))
-    )
-    keep = ["block", "token"]
-    near = sliced_join(_partners(rich, "_l", keep), _partners(rich, "_r", keep), keep)
-    total = F.col("n_l") + F.col("n_r")
-    candidates = (
-        near.filter(F.col("title_key_l") < F.col("title_key_r"))
-        # Report a pair at its first shared prefix token only.
-        .filter(F.col("token") == F.get(F.array_intersect("prefix_l", "prefix_r"), F.lit(0)))
-        .filter(F.size(F.array_intersect("tokens_l", "tokens_r")) * 400 >= total * m2)
-        .select("title_key_l", "title_key_r", "title_low_l", "title_low_r", total.alias("total"))
-    )
-    lcs = similarity.lcs_length(
-        F.col("title_low_l"),
-        similarity.char_masks(F.col("title_low_l")),
-        F.col("title_low_r"),
-    )
-    hits = candidates.filter(similarity.reaches(lcs, F.col("total"), threshold))
-    one_way = hits.select(
-        F.col("title_key_l").alias("title_key"), F.col("title_key_r").alias("near_key")
-    )
-    other_way = one_way.select(
-        F.col("near_key").alias("title_key"), F.col("title_key").alias("near_key")
-    )
-    itself = titles.select("title_key", F.col("title_key").alias("near_key"))
-    return one_way.unionByName(other_way).unionByName(itself)
-
-
 def fuzzy_pairs(deals: DataFrame, threshold: float = 0.85) -> DataFrame:
     comp = comparable(deals)
-    rows = comp.select("title_key", "seq", "price_c", "sizes")
-    left = (
-        rows.join(similar_titles(comp, threshold), "title_key")
-        .select(
-            "near_key",
-            F.col("seq").alias("seq_l"),
-            F.col("price_c").alias("price_c_l"),
-            F.col("sizes").alias("sizes_l"),
-        )
-        .withColumn("bucket", F.explode(near_buckets(F.col("price_c_l"), FUZZY_PCT)))
-    )
-    right = rows.select(
-        F.col("title_key").alias("near_key"),
-        F.col("seq").alias("seq_r"),
-        F.col("price_c").alias("price_c_r"),
-        F.col("sizes").alias("sizes_r"),
-    ).withColumn("bucket", bucket(F.col("price_c_r"), FUZZY_PCT))
+    wanted = ["title_key", "seq", "price_c", "sizes"]
+    left = _near(comp, wanted, FUZZY_PCT, "_l").withColumnRenamed("title_key_l", "title_key")
+    left = left.join(similar_titles(comp, threshold), "title_key").drop("title_key")
+    right = _near(comp, wanted, FUZZY_PCT, "_r").withColumnRenamed("title_key_r", "near_key")
     return (
-        sliced_join(left, right, ["near_key", "bucket"])
+        sliced_join(left, right, ["near_key", "node"])
         .filter(F.col("seq_l") < F.col("seq_r"))
-        .filter(price_similar(F.col("price_c_l"), F.col("price_c_r"), FUZZY_PCT))
         .filter(sizes_overlap(F.col("sizes_l"), F.col("sizes_r")))
         .select(F.col("seq_l").alias("left_seq"), F.col("seq_r").alias("right_seq"))
     )
 
 
 def duplicate_pairs(deals: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """Every pair with the number of the first rule that finds it."""
+    """Every pair with the number of the first rule that finds it.
+
+    This grows with the square of a key's deals; :func:`duplicate_links` says the same in rows
+    that grow with the deals.
+    """
     by_rule = [
         exact_pairs(deals),
         gtin_pairs(deals),
@@ -256,3 +135,116 @@ def duplicate_pairs(deals: DataFrame, threshold: float = 0.85) -> DataFrame:
     for more in tagged[1:]:
         union = union.unionByName(more)
     return union.groupBy("left_seq", "right_seq").agg(F.min("rule").alias("rule"))
+
+
+# --- the same without listing pairs ------------------------------------------
+
+
+def _linked(rows: DataFrame, keys: list[str], first: list[str], links: DataFrame) -> DataFrame:
+    """(seq, first_seq, price_c, links) of rows whose ``keys`` have links to other deals.
+
+    ``first_seq`` is the earliest deal that agrees in the ``first`` columns, which are some of the keys.
+    """
+    earliest = rows.groupBy(*first).agg(F.min("seq").alias("first_seq"))
+    facts = links.filter(F.col("links") > 0).join(earliest, first)
+    return sliced_join(rows, facts, keys).select("seq", "first_seq", "price_c", "links")
+
+
+def identifier_links(comp: DataFrame, column: str) -> DataFrame:
+    """Deals that share an identifier: the earliest of its deals, and how many others there are.
+
+    Within an identifier all deals match, so (first_seq, seq) says who matches whom.
+    """
+    rows = comp.filter(F.col(column).isNotNull()).select(column, "seq", "price_c")
+    links = rows.groupBy(column).agg((F.count(F.lit(1)) - 1).alias("links"))
+    return _linked(rows, [column], [column], links)
+
+
+def gtin_links(deals: DataFrame) -> DataFrame:
+    return identifier_links(comparable(deals), "gtin")
+
+
+def mpn_links(deals: DataFrame) -> DataFrame:
+    return identifier_links(comparable(deals), "mpn")
+
+
+def sku_links(deals: DataFrame) -> DataFrame:
+    return identifier_links(comparable(deals), "sku_key")
+
+
+def exact_links(deals: DataFrame) -> DataFrame:
+    """Deals with a partner of equal title and brand at a price within 5 %.
+
+    Two deals match if they agree in first_seq and their prices are near. Partners are counted on
+    the price tree: each node sums up the deals it holds, and a price adds up the nodes it reads.
+    """
+    rows = comparable(deals).select("exact_key", "price_c", "seq")
+    points = rows.groupBy("exact_key", "price_c").agg(F.count(F.lit(1)).alias("n"))
+    held = (
+        points.select("exact_key", "n", F.explode(listed_nodes(F.col("price_c"), EXACT_PCT)).alias("node"))
+        .groupBy("exact_key", "node")
+        .agg(F.sum("n").alias("n"))
+    )
+    read = points.select("exact_key", "price_c", F.explode(covering_nodes(F.col("price_c"), EXACT_PCT)).alias("node"))
+    links = sliced_join(read, held, ["exact_key", "node"]).groupBy("exact_key", "price_c").agg((F.sum("n") - 1).alias("links"))
+    return _linked(rows, ["exact_key", "price_c"], ["exact_key"], links)
+
+
+def fuzzy_links(deals: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """Deals with a partner of the same brand, sport and category, a similar title, a price within
+    10 % and overlapping sizes. ``first_seq`` is the earliest deal of the same block and title;
+    :func:`title_links` says which of these are similar.
+
+    Distinct (title, sizes) are matched first, so a pair that shares several sizes counts once.
+    """
+    comp = comparable(deals).withColumn("size_set", size_set(F.col("sizes")))
+    rows = comp.select("title_key", "size_set", "price_c", "seq")
+    points = rows.groupBy("title_key", "size_set", "price_c").agg(F.count(F.lit(1)).alias("n"))
+    kinds = points.select("title_key", "size_set").distinct()
+    near_kinds = (
+        kinds.join(similar_titles(comp, threshold), "title_key")
+        .join(kinds.select(F.col("title_key").alias("near_key"), F.col("size_set").alias("near_set")), "near_key")
+        .filter(sizes_overlap(F.col("size_set"), F.col("near_set")))
+    )
+    held = (
+        points.select(
+            F.col("title_key").alias("near_key"), F.col("size_set").alias("near_set"), "n",
+            F.explode(listed_nodes(F.col("price_c"), FUZZY_PCT)).alias("node"),
+        )
+        .groupBy("near_key", "near_set", "node")
+        .agg(F.sum("n").alias("n"))
+    )
+    read = points.drop("n").join(near_kinds, ["title_key", "size_set"]).withColumn(
+        "node", F.explode(covering_nodes(F.col("price_c"), FUZZY_PCT))
+    )
+    links = (
+        sliced_join(read, held, ["near_key", "near_set", "node"])
+        .groupBy("title_key", "size_set", "price_c")
+        .agg((F.sum("n") - 1).alias("links"))
+    )
+    return _linked(rows, ["title_key", "size_set", "price_c"], ["title_key"], links)
+
+
+def title_links(deals: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """(first_seq, near_seq) of different titles of one block that are similar, both ways round.
+
+    A title is named by its earliest deal.
+    """
+    comp = comparable(deals)
+    earliest = comp.groupBy("title_key").agg(F.min("seq").alias("first_seq"))
+    near = similar_titles(comp, threshold).filter(F.col("title_key") != F.col("near_key"))
+    return near.join(earliest, "title_key").join(
+        earliest.select(F.col("title_key").alias("near_key"), F.col("first_seq").alias("near_seq")), "near_key"
+    ).select("first_seq", "near_seq")
+
+
+def duplicate_links(deals: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """(rule, seq, first_seq, price_c, links): a row for each deal and rule that gives it partners."""
+    by_rule = [
+        exact_links(deals), gtin_links(deals), mpn_links(deals), sku_links(deals), fuzzy_links(deals, threshold),
+    ]
+    union = None
+    for i, rows in enumerate(by_rule, 1):
+        rows = rows.withColumn("rule", F.lit(i))
+        union = rows if union is None else union.unionByName(rows)
+    return union

@@ -340,19 +340,22 @@ def stats_report(spark, d):
 
 
 for _rule, _job in {
-    "exact": pairing.exact_pairs,
-    "gtin": pairing.gtin_pairs,
-    "mpn": pairing.mpn_pairs,
-    "sku": pairing.sku_pairs,
-    "fuzzy": pairing.fuzzy_pairs,
+    "exact": pairing.exact_links,
+    "gtin": pairing.gtin_links,
+    "mpn": pairing.mpn_links,
+    "sku": pairing.sku_links,
+    "fuzzy": pairing.fuzzy_links,
 }.items():
-    query(f"pairs_{_rule}", sql.pairs_sql(_rule))(
+    # A row for each deal with partners: pairs are a class, a price and the number of partners.
+    query(f"pairs_{_rule}", sql.links_sql(_rule))(
         lambda spark, d, job=_job: job(deals(spark, d))
     )
 
-query("duplicate_pairs", f"WITH {sql.ALL_PAIRS} SELECT * FROM pairs")(
-    lambda spark, d: pairing.duplicate_pairs(deals(spark, d))
+query("duplicate_pairs", sql.all_links_sql())(
+    lambda spark, d: pairing.duplicate_links(deals(spark, d))
 )
+query("title_pairs", sql.TITLE_LINKS)(lambda spark, d: pairing.title_links(deals(spark, d)))
+
 
 def _groups(spark, d):
     """Groups of the sample, cut off from the rounds that found them."""
@@ -384,7 +387,8 @@ def merge_groups(spark, d):
 @query(
     "alternate_offers",
     sql.with_groups(
-        f"{sql.BASES} SELECT m.seed_seq, base_seq, m.seq, m.retailer, m.score, group_size "
+        f"{sql.BASES} SELECT m.seed_seq, base_seq, m.seq, m.retailer, m.score, group_size, "
+        "row_number() OVER (PARTITION BY m.seed_seq ORDER BY place) AS rank "
         "FROM members m JOIN bases b ON m.seed_seq = b.seed_seq "
         "WHERE m.seq <> base_seq AND m.retailer <> base_retailer"
     ),

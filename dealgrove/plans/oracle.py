@@ -196,22 +196,32 @@ def ranked_sql(predicate: str) -> str:
     return with_scored(f"SELECT {RANKED_COLUMNS} FROM scored WHERE {predicate}")
 
 
-# Similarity of every two distinct lower-case titles: the common subsequence runs the
-# bit-vector recurrence over the characters of the second title.
+# Similarity of the distinct lower-case titles of one brand, sport and category whose lengths can
+# reach it: the common subsequence runs the bit-vector recurrence over the characters of the second
+# title, once for every two different texts.
 NEAR = """
-words AS (SELECT DISTINCT lower(title) AS t FROM deals),
+words AS (SELECT DISTINCT lower(title) AS t, brand, sport, category FROM deals),
 masks AS (
   SELECT t, length(t) AS n, (CAST(1 AS BIGINT) << length(t)) - 1 AS ones,
-         string_split(t, '') AS letters FROM words
+         string_split(t, '') AS letters FROM (SELECT DISTINCT t FROM words)
 ),
-near AS (
+couples AS (
+  SELECT DISTINCT x.t AS ta, y.t AS tb FROM words x JOIN words y
+  ON x.brand IS NOT DISTINCT FROM y.brand AND x.sport IS NOT DISTINCT FROM y.sport
+    AND x.category IS NOT DISTINCT FROM y.category
+    AND x.t <= y.t AND 2 * least(length(x.t), length(y.t)) * 400 > (length(x.t) + length(y.t)) * 2 * 169
+),
+one_way AS MATERIALIZED (
   SELECT x.t AS ta, y.t AS tb, x.n + y.n AS total, x.n - bit_count(list_reduce(
     list_transform(y.letters, lambda c: list_reduce(
       list_transform(range(1, x.n + 1),
         lambda i: CASE WHEN x.letters[i] = c THEN CAST(1 AS BIGINT) << (i - 1) ELSE 0 END),
       lambda p, q: p | q)),
     lambda v, m: ((v + (v & m)) | (v & ~m)) & x.ones, x.ones)) AS lcs
-  FROM masks x JOIN masks y ON TRUE
+  FROM couples JOIN masks x ON x.t = ta JOIN masks y ON y.t = tb
+),
+near AS (
+  SELECT * FROM one_way UNION ALL SELECT tb, ta, total, lcs FROM one_way WHERE ta <> tb
 )"""
 
 _CLOSE = (
@@ -252,6 +262,42 @@ def pairs_sql(rule: str) -> str:
     return f"WITH {DEALS}{near}\n{RULES[rule]}"
 
 
+# The class a deal is named after, rule by rule; links are counted from both ends of the pairs.
+CLASSES = {
+    "exact": "title, brand",
+    "gtin": "gtin",
+    "mpn": "mpn",
+    "sku": "sku, retailer",
+    "fuzzy": "lower(title), brand, sport, category",
+}
+
+
+def _links(rule: str) -> str:
+    return (
+        "SELECT d.seq, first_seq, CAST(d.price * 100 AS BIGINT) AS price_c, links FROM "
+        f"(SELECT seq, price, min(seq) OVER (PARTITION BY {CLASSES[rule]}) AS first_seq FROM deals) d JOIN "
+        "(SELECT seq, count(*) AS links FROM (SELECT left_seq AS seq FROM p UNION ALL SELECT right_seq FROM p) "
+        "GROUP BY seq) n ON n.seq = d.seq"
+    )
+
+
+def links_sql(rule: str) -> str:
+    near = f", {NEAR}" if rule == "fuzzy" else ""
+    return f"WITH {DEALS}{near}, p AS ({RULES[rule]})\n{_links(rule)}"
+
+
+def all_links_sql() -> str:
+    each = " UNION ALL ".join(
+        f"SELECT {i} AS rule, * FROM (WITH p AS ({body}) {_links(rule)})" for i, (rule, body) in enumerate(RULES.items(), 1)
+    )
+    return f"WITH {DEALS}, {NEAR}\n{each}"
+
+
+TITLE_LINKS = f"""WITH {DEALS}, {NEAR},
+named AS (SELECT lower(title) AS t, brand, sport, category, min(seq) AS first_seq FROM deals GROUP BY ALL)
+SELECT a.first_seq, b.first_seq AS near_seq FROM named a JOIN named b ON {_BLOCK} AND a.t <> b.t
+JOIN near ON ta = a.t AND tb = b.t WHERE lcs * 400 > total * 169"""
+
 _UNION = " UNION ALL ".join(
     f"SELECT *, {i} AS rule FROM ({body})" for i, body in enumerate(RULES.values(), 1)
 )
@@ -343,10 +389,8 @@ def _first_text(column: str) -> str:
 
 MERGED = f"""{BASES},
 others AS (
-  SELECT seed_seq, string_agg(retailer, ',' ORDER BY place) AS alternate_retailers FROM (
-    SELECT m.seed_seq, m.retailer, min(place) AS place FROM members m
-    JOIN bases b ON m.seed_seq = b.seed_seq WHERE m.retailer <> base_retailer GROUP BY ALL)
-  GROUP BY seed_seq
+  SELECT m.seed_seq, string_agg(m.retailer, ',' ORDER BY place) AS alternate_retailers FROM members m
+  JOIN bases b ON m.seed_seq = b.seed_seq WHERE m.retailer <> base_retailer GROUP BY m.seed_seq
 )
 SELECT m.seed_seq, any_value(m.id) FILTER (WHERE place = 1) AS id, count(*) AS group_size,
   CAST(min(price) AS DOUBLE) AS price,

@@ -188,15 +188,15 @@ def test_merge_and_mark(make_deals):
     merged = {r["seed_seq"]: r for r in dedup.merge_groups(df, groups).collect()}
     one = merged[1]
     assert (one["id"], one["price"], one["msrp"], one["score"]) == ("d2", Decimal("25.00"), Decimal("50.00"), 90.0)
-    assert one["sizes"] == ["L", "M", "S"] and one["alternate_retailers"] == ["A"]
+    assert one["sizes"] == ["L", "M", "S"] and one["alternate_retailers"] == ["A", "A"] and one["other_retailers"] == ["A"]
     assert one["coupon_code"] == "C1" and one["stock_level"] == "limited" and one["in_stock"] is False
     assert one["last_seen"] == t(2024, 1, 3) and one["first_seen"] == t(2024, 1, 1)
     assert merged[4]["sizes"] == ["Z", "A"] and merged[4]["msrp"] == Decimal("0.00")
     known = df.withColumn("alternate_retailers", F.array(F.lit("Z")))
     kept = {r["seed_seq"]: r["alternate_retailers"] for r in dedup.merge_groups(known, groups).collect()}
-    assert kept == {1: ["A"], 4: ["Z"]}
+    assert kept == {1: ["A", "A"], 4: ["Z"]}
     offers = dedup.alternate_offers(df, groups).orderBy(F.desc("score"), "seq").collect()
-    assert [(r["seq"], r["retailer"]) for r in offers] == [(3, "A"), (1, "A")]
+    assert [(r["seq"], r["retailer"], r["rank"]) for r in offers] == [(3, "A", 1), (1, "A", 2)]
     marked = {r["seq"]: (r["is_duplicate"], r["canonical_deal_id"]) for r in dedup.mark_duplicates(df, groups).collect()}
     assert marked == {1: (True, "d2"), 2: (False, None), 3: (True, "d2"), 4: (False, None)}
     stats = dedup.dedup_stats(groups).first().asDict()
