@@ -57,59 +57,76 @@ def stock_rules(in_stock_only: bool = False):
     ]
 
 
-def class_pattern(*classes: str) -> str:
-    """Regular expression for the inner markup of the first element with a class.
+def _value(names: str) -> str:
+    """An attribute's value that holds one of the names as a word: in either quotes, or in none."""
+    word = r"(?<![\w-])(?:" + names + r")(?![\w-])"
+    return r"(?:\"[^\"]*" + word + r"[^\"]*\"|'[^']*" + word + r"[^']*'|(?:" + names + r")(?=[\s>]))"
 
-    Group 1 is the tag, group 2 the inner markup up to the first closing tag of
-    the same name.
+
+# What may stand in a tag: an attribute's value may hold '>' in its quotes.
+_IN_TAG = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
+
+
+def opening_pattern(*wanted: str) -> str:
+    """Regular expression for an opening tag, from selectors as stores' pages are described:
+    a ``.class``, a tag, or ``[attribute]``, with a value (``[attribute=value]``) or without."""
+    parts = []
+    for one in wanted:
+        if one.startswith("."):
+            parts.append(r"[a-z][a-z0-9]*\b" + _IN_TAG + r"?\sclass\s*=\s*" + _value(one[1:]) + _IN_TAG)
+        elif one.startswith("["):
+            name, _, value = one[1:-1].partition("=")
+            held = r"\s*=\s*" + _value(value) if value else r"(?=[\s=>])"
+            parts.append(r"[a-z][a-z0-9]*\b" + _IN_TAG + r"?\s" + name + held + _IN_TAG)
+        else:
+            parts.append(one + r"\b" + _IN_TAG)
+    return r"(?is)<(?:" + "|".join(parts) + ")>"
+
+
+def class_pattern(*wanted: str) -> str:
+    """Regular expression for the first element of a selector list.
+
+    Group 1 is the tag, group 2 the inner markup up to the first closing tag of the same name;
+    where that holds tags, extraction looks for the element's own end.
     """
-    names = "|".join(classes)
-    return (
-        r"(?is)<([a-z][a-z0-9]*)\b[^>]*\bclass=\"[^\"]*(?<![\w-])(?:"
-        + names
-        + r")(?![\w-])[^\"]*\"[^>]*>(.*?)</\1\s*>"
-    )
+    opening = opening_pattern(*wanted)
+    return r"(?is)(?=" + opening.removeprefix("(?is)") + r")<([a-z][a-z0-9]*)\b" + _IN_TAG + r">(.*?)</\1\s*>"
 
 
-def card_pattern(*classes: str) -> str:
-    """Regular expression for one card: from its opening tag to the next card or the end."""
-    start = (
-        r"<[a-z][a-z0-9]*\b[^>]*\bclass=\"[^\"]*(?<![\w-])(?:"
-        + "|".join(classes)
-        + r")(?![\w-])[^\"]*\"[^>]*>"
-    )
-    return r"(?is)" + start + r".*?(?=" + start + r"|\z)"
+def card_pattern(*wanted: str) -> str:
+    """Regular expression for the opening tag of a card."""
+    return opening_pattern(*wanted)
 
 
 def attr_pattern(tag: str, attribute: str) -> str:
-    """Regular expression for an attribute of the first such tag (group 2)."""
-    return r"(?is)<(" + tag + r")\b[^>]*?\b" + attribute + r"=\"([^\"]*)\""
+    """Regular expression for an attribute of the first such tag (group 2), in any quotes or none."""
+    value = r"[\"']?((?<=\")[^\"]*|(?<=')[^']*|[^\s\"'>]+)"
+    return r"(?is)<(" + tag + r")\b" + _IN_TAG + r"?\s" + attribute + r"\s*=\s*" + value
+
 
+def selectors(kind: str = "general") -> dict[str, str]:
+    """Extraction patterns of a store: the usual markup, then what its own pages call things.
 
-def selectors() -> dict[str, str]:
-    """Extraction patterns for the usual storefront markup."""
+    ``brand`` is the general selector, which structured data overrides; ``brand_specific`` is
+    the store's own, which overrides structured data.
+    """
+    own = fixed.STORE_SELECTORS["default"] | fixed.STORE_SELECTORS.get(kind, {})
     return {
-        "item": card_pattern("product-card", "product-tile"),
-        "title": class_pattern("product-title", "product-name"),
-        "price": class_pattern("sale-price", "current-price"),
-        "msrp": class_pattern("was-price", "original-price"),
+        "item": card_pattern(".product-card", ".product-tile"),
+        "title": class_pattern(".product-title", ".product-name"),
+        "price": class_pattern(".sale-price", ".current-price"),
+        "msrp": class_pattern(".was-price", ".original-price"),
         "url": attr_pattern("a", "href"),
         "image": attr_pattern("img", "src"),
-        "brand": class_pattern("brand-name", "product-brand"),
-        "sizes": class_pattern("size-selector", "available-sizes", "size-options", "size-grid"),
-        "sku": class_pattern("product-sku", "sku"),
-        "breadcrumb": class_pattern("breadcrumb", "category-path", "product-category"),
-        "stock": class_pattern("stock-status", "availability", "inventory"),
-        "promo": class_pattern("sale-badge", "clearance-badge", "promo-badge", "deal-tag"),
-        "coupon": class_pattern("coupon-code", "promo-code", "discount-code"),
-        "age": class_pattern("age-range", "recommended-age", "age-group"),
-        "description": class_pattern("description", "product-description"),
-    }
+        "brand": class_pattern(".brand-name", ".product-brand"),
+        "description": class_pattern(".description", ".product-description"),
+        "size_item": opening_pattern(*own["size_item"]),
+    } | {field: class_pattern(*own[field]) for field in own if field != "size_item"}
 
 
 def source_rules(kind: str, store_name: str = "") -> dict:
     """Rule columns of one source row. ``kind`` picks the published variant:
-    general, dicks, soccer, monkey, nike or adidas."""
+    dicks, soccer, monkey, nike or adidas; any other has the general rules."""
     row = {
         "fixed_brand": None,
         "fixed_sport": None,

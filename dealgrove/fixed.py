@@ -175,3 +175,49 @@ SPORT_KEYWORDS = [
 ]
 # Sport by store name for the stores that sell one sport.
 STORE_NAME_SPORTS = ["hockey", "baseball", "lacrosse"]
+
+
+# What stores call the parts of a product card on their own pages.
+STORE_SELECTORS = {
+    "default": {
+        "sku": [".product-sku", ".sku"],
+        "breadcrumb": [".breadcrumb", ".category-path", ".product-category"],
+        "sizes": [".size-selector", ".size-options", ".size-grid"],
+        "size_item": ["a", "button", ".size-option"],
+        "stock": [".stock-status", ".availability", ".inventory"],
+        "promo": [".sale-badge", ".clearance-badge", ".promo-badge", ".deal-tag"],
+        "coupon": [".coupon-code", ".promo-code", ".discount-code"],
+        "age": [".age-range", ".recommended-age", ".age-group"],
+    },
+    "academy": {
+        "brand_specific": [".brand-name", ".product-brand", ".manufacturer"],
+        "breadcrumb": [".breadcrumb", ".nav-breadcrumb", ".category-path"],
+        "sizes": [".size-selector", ".size-options", ".available-sizes"],
+        "stock": [".stock-status", ".availability", ".inventory-status"],
+        "promo": [".sale-badge", ".clearance-badge", ".promo-badge", ".deal-badge"],
+        "coupon": [".coupon-info", ".promo-code", ".discount-code"],
+        "age": [".age-range", ".recommended-age"],
+    },
+    "big5": {
+        "brand_specific": [".brand-name", ".product-brand", ".manufacturer"],
+        "sizes": [".size-selector", ".size-options", ".size-list"],
+        "stock": [".stock-status", ".availability", ".inventory-status"],
+    },
+    "dicks": {
+        "sku": ["[data-testid=product-sku]", ".product-sku", ".sku"],
+        "brand_specific": [".brand-link", ".product-brand", "[data-testid=product-brand]"],
+        "breadcrumb": [".breadcrumb", ".category-path"],
+        "sizes": [".size-selector", ".available-sizes"],
+        "size_item": ["a", "button"],
+        "stock": [".stock-status", ".availability"],
+        "promo": [".promo-badge", ".sale-badge", ".clearance-badge"],
+        "coupon": [".coupon-code", ".promo-code"],
+    },
+    "monkey": {"brand_specific": [".brand-name", ".product-brand", ".manufacturer"]},
+    "scheels": {
+        "brand_specific": [".brand-name", ".product-brand", ".manufacturer-name"],
+        "breadcrumb": [".breadcrumb", ".category-navigation", ".product-category"],
+        "size_item": ["a", "button", ".size-item"],
+    },
+    "soccer": {"brand_specific": [".brand-name", ".product-brand", ".manufacturer"]},
+}

@@ -12,22 +12,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pricing, product, sizes, urls
+from ..functions.markup import elements, first_inner, without_comments
 from ..functions.text import clean_text, none_if_empty, strip_tags
 from .quality import deal_constraints
 
 _JSONLD = r"(?is)<script[^>]*type=[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"
-_DATA_TAG = r"(?is)(<[^>]*\bdata-(?:product-id|sku|item-id)=\"[^\"]*\"[^>]*>)"
-_SIZE_ITEM = (
-    r"(?is)<(?:(?:a|button)\b[^>]*|[a-z0-9]+\b[^>]*\bclass=\"[^\"]*"
-    r"(?<![\w-])size-(?:item|option)(?![\w-])[^\"]*\"[^>]*)>([^<]*)<"
-)
-_PRODUCT_LINK = r"(?is)<a\b[^>]*\bhref=\"[^\"]*/product/([^/?\"]+)"
+_ATTRIBUTE = r"\s*=\s*[\"']?((?<=\")[^\"]*|(?<=')[^']*|[^\s\"'>]+)"
+_DATA_TAG = r"(?is)(<[^>]*\sdata-(?:product-id|sku|item-id)\s*=[^>]*>)"
+_SIZE_ITEM = r"(?is)<(?:a|button)\b[^>]*>"
+_PRODUCT_LINK = r"(?is)<a\b[^>]*\shref\s*=\s*[\"']?[^\s\"'>]*/product/([^/?\s\"'>]+)"
 
 
 def explode_cards(pages: DataFrame, sources: DataFrame) -> DataFrame:
     """One row per item card: (retailer, page_num, source_url, fetched_at, card_pos, card, src).
 
-    ``src`` is the source row. A source without an item pattern is an error.
+    A card is the whole element whose opening tag the source's item pattern matches, up to its own
+    closing tag. ``src`` is the source row. A source without an item pattern is an error.
     """
     src = sources.select(
         F.col("name").alias("retailer"), F.struct(*sources.columns).alias("src")
@@ -37,25 +37,41 @@ def explode_cards(pages: DataFrame, sources: DataFrame) -> DataFrame:
     usable = F.when(none_if_empty(pattern).isNotNull(), pattern).otherwise(
         F.raise_error("No item selector configured")
     )
-    cards = F.call_function("regexp_extract_all", F.col("html"), usable, F.lit(0))
     keep = [c for c in pages.columns if c not in ("html", "url")]
+    cards = elements(without_comments(F.col("html")), usable)
     return joined.select(
         *keep, F.col("url").alias("source_url"), "src", F.posexplode(cards).alias("card_pos", "card")
     )
 
 
+# Fields that are an attribute's value.
+_ATTRIBUTES = ("url", "image")
+
+
 def markup(name: str) -> Column:
-    """Inner markup (or attribute value) that the source's pattern ``name`` finds, else ''."""
-    pattern = F.try_element_at("src.selectors", F.lit(name))
-    return F.call_function("regexp_extract", F.col("card"), pattern, F.lit(2))
+    """Attribute value, or inner markup up to the first closing tag, that the source's pattern
+    ``name`` finds, else ''."""
+    return F.call_function("regexp_extract", F.col("card"), _pattern(name), F.lit(2))
+
+
+def _pattern(name: str) -> Column:
+    return F.try_element_at("src.selectors", F.lit(name))
+
+
+def _whole(found: Column) -> Column:
+    """Inner markup of (pattern, inner). Where that holds tags, the element may go on behind the
+    first closing tag: then its own end is looked for."""
+    card = F.col("card")
+    matched = F.call_function("regexp_extract", card, found["pattern"], F.lit(0))
+    rest = F.call_function("substring", card, F.call_function("instr", card, matched))
+    return F.when(F.contains(found["inner"], F.lit("<")), first_inner(rest)).otherwise(found["inner"])
 
 
 # Fields a source's patterns may name.
 FIELDS = (
-    "title", "price", "msrp", "url", "image", "brand", "sizes", "sku", "breadcrumb",
+    "title", "price", "msrp", "url", "image", "brand", "brand_specific", "sizes", "sku", "breadcrumb",
     "stock", "promo", "coupon", "age", "description", "category",
 )
-_ATTRIBUTES = ("url", "image")
 
 
 def read_fields(cards: DataFrame) -> DataFrame:
@@ -63,16 +79,13 @@ def read_fields(cards: DataFrame) -> DataFrame:
 
     Each pattern runs once per card; later steps refer to these two columns.
     """
-    marked = cards.withColumn("raw", F.struct(*[markup(n).alias(n) for n in FIELDS]))
-    return marked.withColumn(
-        "txt",
-        F.struct(
-            *[
-                clean_text(strip_tags(F.col(f"raw.{n}"))).alias(n)
-                for n in FIELDS
-                if n not in _ATTRIBUTES
-            ]
-        ),
+    inner = [n for n in FIELDS if n not in _ATTRIBUTES]
+    first = F.array(*[F.struct(_pattern(n).alias("pattern"), markup(n).alias("inner")) for n in inner])
+    found = _settled(cards.withColumn("_inner", F.transform(first, _whole)))
+    raw = {n: F.col("_inner")[i] for i, n in enumerate(inner)} | {n: markup(n) for n in _ATTRIBUTES}
+    marked = found.withColumn("raw", F.struct(*[raw[n].alias(n) for n in FIELDS])).drop("_inner")
+    return _settled(
+        marked.withColumn("txt", F.struct(*[clean_text(strip_tags(F.col(f"raw.{n}"))).alias(n) for n in inner]))
     )
 
 
@@ -232,7 +245,7 @@ def extract_sku() -> Column:
     card = F.col("card")
     tag = F.regexp_extract(card, _DATA_TAG, 1)
     attributes = [
-        none_if_empty(F.regexp_extract(tag, r"(?is)\bdata-" + a + r"=\"([^\"]*)\"", 1))
+        none_if_empty(F.regexp_extract(tag, r"(?is)\sdata-" + a + _ATTRIBUTE, 1))
         for a in ("product-id", "sku", "item-id")
     ]
     link = none_if_empty(F.regexp_extract(card, _PRODUCT_LINK, 1))
@@ -243,9 +256,9 @@ def extract_sku() -> Column:
 
 def extract_size_list() -> Column:
     """Texts of the size links and buttons, without the placeholders; null when none."""
-    found = F.transform(
-        F.regexp_extract_all(F.col("raw.sizes"), F.lit(_SIZE_ITEM), F.lit(1)), clean_text
-    )
+    opening = F.coalesce(F.try_element_at("src.selectors", F.lit("size_item")), F.lit(_SIZE_ITEM))
+    items = F.when(F.contains("raw.sizes", F.lit("<")), elements(F.col("raw.sizes"), opening, "inner"))
+    found = F.transform(items, lambda e: clean_text(strip_tags(e)))
     holders = F.coalesce("src.size_placeholders", F.array().cast("array<string>"))
     kept = F.filter(found, lambda s: (s != "") & ~F.array_contains(holders, s))
     return F.when(F.size(kept) > 0, kept)
@@ -258,7 +271,7 @@ def overlay_layers(cards: DataFrame) -> DataFrame:
             "_crumb": _found("breadcrumb"),
             "_stock": first_rule(F.col("txt.stock"), F.col("src.stock_rules")),
             "_size_list": extract_size_list(),
-            "_brand_text": _found("brand"),
+            "_brand_text": _found("brand_specific"),
             "title": F.when(F.coalesce("ld.has_title", F.lit(False)), F.col("ld.title")).otherwise(
                 F.col("g.title")
             ),

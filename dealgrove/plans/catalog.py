@@ -827,12 +827,12 @@ def explode_cards(spark, d):
 def page_links(spark, d):
     """Raw web pages through the same card machinery: one card per list link."""
     site = spark.sql(
-        "SELECT 'web' AS name, map('item', '<li><a href=\"[^\"]*\">[^<]*</a></li>', "
+        "SELECT 'web' AS name, map('item', '(?i)<li\\\\b[^>]*>', "
         "'url', '(?is)<(a)\\\\b[^>]*?href=\"([^\"]*)\"') AS selectors"
     )
     landed = sample.table(spark, d, "pages").withColumn("retailer", F.lit("web"))
     cards = extract.explode_cards(landed, site)
-    return cards.select("page_id", extract.markup("url").alias("link"))
+    return cards.select("page_id", extract.markup("url").alias("link")).filter("link <> ''")
 
 
 @query(

@@ -447,8 +447,8 @@ def extracted_sql() -> str:
 k AS (SELECT *, CAST(split_part(retailer, '_', 2) AS INTEGER) % 5 AS kind FROM deals)
 SELECT id AS offer, coalesce('mpn:' || mpn, 'sku:' || sku) AS id, title,
   CAST(price AS DOUBLE) AS price,
-  CASE WHEN kind = 4 THEN 'Nike' WHEN brand IS NOT NULL THEN trim(brand)
-       WHEN mpn IS NOT NULL THEN 'Labelled' ELSE split_part(title, ' ', 3) END AS brand,
+  CASE WHEN kind = 4 THEN 'Nike' WHEN kind IN (0, 1) AND mpn IS NOT NULL THEN 'Labelled'
+       WHEN brand IS NOT NULL THEN trim(brand) WHEN mpn IS NOT NULL THEN 'Labelled' ELSE split_part(title, ' ', 3) END AS brand,
   sku, mpn, {category} AS category, {found_sport} AS sport,
   array_to_string(sizes, ',') AS sizes,
   CASE WHEN in_stock THEN TRUE WHEN NOT in_stock THEN kind <> 1

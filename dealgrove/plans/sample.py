@@ -156,7 +156,7 @@ def _kinds(spark: SparkSession) -> DataFrame:
     for i, kind in enumerate(KINDS):
         rules = dims.source_rules(kind)
         rows.append(
-            (i, *[rules[c] for c in _RULE_COLUMNS], KIND_SPORTS[i], dims.selectors())
+            (i, *[rules[c] for c in _RULE_COLUMNS], KIND_SPORTS[i], dims.selectors(kind))
         )
     return spark.createDataFrame(rows, wanted)
 
@@ -242,21 +242,25 @@ def supplier_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A landed page per deal: its card, then a card that lacks a price.
+    """A landed page per deal: its card, then a card that lacks a price, then a footer with one.
 
     ``offer`` names the deal, so extraction results can be checked against it.
     """
     d = deals(spark, sf_dir)
     money = lambda c: F.concat(F.lit("$"), F.col(c).cast("string"))
 
+    # Stores quote their attributes in one way or another, or not at all.
+    store = F.split_part("retailer", F.lit("_"), F.lit(2)).try_cast("int") % len(KINDS)
+    quote = F.element_at(F.array(*[F.lit(q) for q in ('"', "'", "", '"', "'")]), F.coalesce(store, F.lit(0)) + 1)
+
     def tag(name: str, cls: str, body: Column) -> Column:
-        return F.concat(F.lit(f'<{name} class="{cls}">'), body, F.lit(f"</{name}>"))
+        return F.concat(F.lit(f"<{name} id=x class="), quote, F.lit(cls), quote, F.lit(">"), body, F.lit(f"</{name}>"))
 
     def maybe(condition: Column, body: Column) -> Column:
         return F.coalesce(F.when(condition, body), F.lit(""))
 
     size_items = F.array_join(
-        F.transform("sizes", lambda s: F.concat(F.lit('<span class="size-option"> '), s, F.lit(" </span>"))),
+        F.transform("sizes", lambda s: F.concat(F.lit('<div><a class="size-option"><b> '), s, F.lit(" </b></a></div>"))),
         "",
     )
     stock = (
@@ -272,7 +276,8 @@ def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('", "availability": "https://schema.org/OutOfStock"}]}</script>'),
     )
     card = F.concat(
-        F.lit('<div class="product-card" data-product-id="'), "sku", F.lit('">'),
+        F.lit("<div class="), quote, F.lit("product-card"), quote, F.lit(" data-product-id="), quote, "sku", quote, F.lit(">"),
+        F.lit('<!-- <div class="product-card"> --><div class="product-info"><div></div>'),
         tag("h3", "product-title", F.concat(F.lit("  "), F.replace("title", F.lit(" "), F.lit(" \n ")))),
         maybe(F.col("brand").isNotNull(), tag("div", "brand-name", F.col("brand"))),
         maybe(F.col("mpn").isNotNull(), ld),
@@ -285,11 +290,12 @@ def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
               tag("p", "coupon-code", F.concat(F.lit("Use code "), F.col("coupon_code")))),
         maybe(F.col("promotion_type").isNotNull(), tag("b", "sale-badge", F.lit("Clearance"))),
         maybe(F.col("age_range").isNotNull(), tag("i", "age-range", F.col("age_range"))),
-        F.lit('<a href="/product/'), "sku", F.lit('?ref=list">View</a></div>'),
+        F.lit("<a href="), quote, F.lit("/product/"), "sku", F.lit("?ref=list"), quote, F.lit(">View</a></div></div>"),
     )
     other = F.lit(
         '<div class="product-card"><h3 class="product-title">Coming soon</h3>'
         '<a href="/soon">View</a></div>'
+        '<div class="footer"><span class="sale-price">$1.00</span></div>'
     )
     return d.select(
         "retailer",
