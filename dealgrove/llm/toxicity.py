@@ -3,10 +3,10 @@
 The field has two states for every word (plain, toxic), weights for the word, its beginnings
 and endings, and weights for the step from one word's state to the next. It is fitted by
 maximum likelihood on the words of a bounded sample of labelled documents. The labels are of
-documents, so words get theirs first: in a toxic document those whose form or stem is far more
-frequent in toxic than in clean documents are toxic, all others are plain. For a new text the
-forward-backward marginals give each word's probability; a document's score is calibrated on
-the chance that any of its words is toxic.
+documents, so words get theirs first: in a toxic document those whose form or stem comes, or comes
+again, far more often in toxic than in clean documents are toxic, all others are plain. For a new
+text the forward-backward marginals give each word's probability; a document's score is
+calibrated on the chance that any of its spans is toxic.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ BUCKETS, ROUNDS, RIDGE = 1 << 18, 40, 1e-3
 #: How much more frequent in toxic documents a form is, and how surely, to be labelled.
 LIFT, SURE = 12.0, 22.0
 THRESHOLD, SPAN_THRESHOLD = 0.7, 0.5
+#: What is added where no word counts, so that the logarithm of a text without spans is near the others.
+PLAIN = 0.1
 WORD = re.compile(r"\S+")
 EDGES = "\"'`.,;:!?()[]{}<>*#$%&|-_/\\"
 
@@ -39,14 +41,14 @@ EDGES = "\"'`.,;:!?()[]{}<>*#$%&|-_/\\"
 def forms(word: str) -> list[str]:
     """A word's form and its beginnings, which may mark it as toxic."""
     w = word.strip(EDGES).lower()
-    return [w, *(f"{w[:n]}^" for n in (4, 5, 6) if len(w) > n)]
+    return [w, *(f"{w[:n]}^" for n in (4, 5, 6, 7) if len(w) > n)]
 
 
 def features(word: str) -> list[int]:
     w = word.strip(EDGES).lower()
     b = w.encode("utf-32-le", "surrogatepass")  # four bytes a character
     crc, mask = zlib.crc32, BUCKETS - 1
-    return [crc(b, 1) & mask, min(len(w), 12), *[crc(b[:n], n) & mask for n in (12, 16, 20, 24)], crc(b[-12:], 2) & mask, crc(b[-16:], 3) & mask]
+    return [crc(b, 1) & mask, min(len(w), 12), *[crc(b[:n], n) & mask for n in (12, 16, 20, 24, 28)], crc(b[-12:], 2) & mask, crc(b[-16:], 3) & mask]
 
 
 @dataclass
@@ -59,8 +61,8 @@ class Model:
     shift: float
 
     def score(self, chance: np.ndarray) -> np.ndarray:
-        """chance: -log of the probability that no word is toxic."""
-        return 1 / (1 + np.exp(-(self.slope * np.log(chance + 1e-4) + self.shift)))
+        """chance: -log of the probability that no span is toxic."""
+        return 1 / (1 + np.exp(-(self.slope * np.log(chance + PLAIN) + self.shift)))
 
 
 def _scan(gain: np.ndarray, start: np.ndarray, at_start: float, m: np.ndarray) -> np.ndarray:
@@ -137,32 +139,49 @@ def fit(texts: list[list[str]], toxic: np.ndarray) -> Model:
     check = [(t, v) for t, v, k in zip(texts, toxic, keep, strict=True) if not k] or list(zip(texts, toxic, strict=True))
     known = Odds(model)
     chance = np.array([chances(model, [t], known)[0][0] for t, _ in check])
-    model.slope, model.shift = _calibrate(np.log(chance + 1e-4), np.array([v for _, v in check], float))
+    # Documents without a span say nothing about how much spans weigh: some toxic ones have lost
+    # all their words to noise. Where no clean one has a span, all are taken.
+    told = np.array([v for _, v in check], float)
+    some = (chance > 0) | (len(set(told[chance > 0])) < 2)
+    # Toxic documents are rare in the labels: both kinds weigh the same, whatever their numbers.
+    share = np.maximum(np.bincount(told.astype(int), minlength=2) / len(told), 1e-9)
+    weight = np.where(told == 1, 0.5 / share[1], 0.5 / share[0])
+    model.slope, model.shift = _calibrate(np.log(chance + PLAIN)[some], told[some], weight[some])
     return model
 
 
 def labelled_forms(texts: list[list[str]], toxic: np.ndarray) -> set[str]:
     """Forms that mark a word of a toxic document as toxic.
 
-    Copies of one document would make all its words look toxic, so what counts at last is in how
-    many different neighbourhoods (word before, word after) toxic documents hold a form.
+    What counts is how many documents of either kind hold a form, or hold it more than once: a
+    beginning that clean documents have here and there by chance is telling where it comes again.
+    Copies of one document would make all its words look toxic, so the neighbourhoods (word before,
+    word after) in which toxic documents hold the form must be as many.
     """
-    seen = Counter(), Counter()
+    seen = [Counter(), Counter()], [Counter(), Counter()]
     for t, v in zip(texts, toxic, strict=True):
-        seen[v].update({f for w in set(t) for f in forms(w)})
+        held = Counter(f for w in t for f in forms(w))
+        for f, k in held.items():
+            seen[v][0][f] += 1
+            if k > 1:
+                seen[v][1][f] += 1
     n = np.bincount(toxic, minlength=2) + 1
 
-    def strong(f: str, k: int) -> bool:
-        lift = (k / n[1]) / ((seen[0][f] + 0.5) / n[0])
-        return len(f) > 2 and lift >= LIFT and k * np.log(lift) >= SURE
+    def strong(f: str, most: float) -> bool:
+        for clean, bad in zip(*seen, strict=True):
+            k = min(bad[f], most)
+            lift = (k / n[1]) / ((clean[f] + 0.5) / n[0])
+            if len(f) > 2 and lift >= LIFT and k * np.log(lift) >= SURE:
+                return True
+        return False
 
-    likely = {f for f, k in seen[1].items() if strong(f, k)}
+    likely = {f for f in seen[1][0] if strong(f, np.inf)}
     around = {f: set() for f in likely}
     for t, v in zip(texts, toxic, strict=True):
         for k, w in enumerate(t) if v else ():
             for f in likely.intersection(forms(w)):
                 around[f].add((t[k - 1] if k else "", t[k + 1] if k + 1 < len(t) else ""))
-    return {f for f in likely if strong(f, min(len(around[f]), seen[1][f]))}
+    return {f for f in likely if strong(f, len(around[f]))}
 
 
 def _climb(model: Model, kind: np.ndarray, of_kind: np.ndarray, y: np.ndarray, sizes: np.ndarray) -> None:
@@ -198,14 +217,21 @@ def _climb(model: Model, kind: np.ndarray, of_kind: np.ndarray, y: np.ndarray, s
         model.first = float(np.clip(model.first + move[BUCKETS + 5], -8, 8))
 
 
-def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Logistic regression on one number by Newton steps, lightly held back; never falling."""
     w, ridge = np.array([1.0, 0.0]), np.diag([0.05, 0.05])
     rows = np.stack([x, np.ones_like(x)], 1)
+
+    def cost(w: np.ndarray) -> float:
+        z = rows @ w
+        return float((weight * (np.logaddexp(0, z) - y * z)).sum() + w @ ridge @ w / 2)
+
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(rows @ w, -30, 30)))
-        step = np.linalg.solve((rows * (p * (1 - p))[:, None]).T @ rows + ridge, rows.T @ (y - p) - ridge @ w)
-        w = w + np.clip(step, -2, 2)
+        step = np.linalg.solve((rows * (weight * p * (1 - p))[:, None]).T @ rows + ridge, rows.T @ (weight * (y - p)) - ridge @ w)
+        while cost(w + step) > cost(w) and np.abs(step).max() > 1e-9:  # too far: the curve is flat here
+            step = step / 2
+        w = w + step
     return max(float(w[0]), 0.1), float(w[1])
 
 
@@ -231,7 +257,10 @@ class Odds(dict):
 
 
 def chances(model: Model, texts: list[list[str]], odds: Odds) -> tuple[np.ndarray, list[np.ndarray]]:
-    """-log of the probability that no word is toxic, and the words' marginals, of every text."""
+    """-log of the probability that no span is toxic, and the words' marginals, of every text.
+
+    Words below the span threshold add nothing, so a long text of plain words stays plain.
+    """
     sizes = np.array([len(t) for t in texts])
     total = np.zeros(len(texts))
     own = odds.of(texts)
@@ -239,7 +268,7 @@ def chances(model: Model, texts: list[list[str]], odds: Odds) -> tuple[np.ndarra
         return total, [np.zeros(0)] * len(texts)
     some = sizes > 0
     p = marginals(own, sizes[some], model)[0]
-    none = -np.log1p(-np.minimum(p, 1 - 1e-12))
+    none = np.where(p >= SPAN_THRESHOLD, -np.log1p(-np.minimum(p, 1 - 1e-12)), 0)
     at = (np.cumsum(sizes) - sizes)[some]
     total[some] = np.add.reduceat(none, at)
     return total, np.split(p, np.cumsum(sizes)[:-1])
