@@ -115,17 +115,18 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Pieces of every whole text: its ids, then the end id, cut where longer than ``capacity``.
 
-    A null or empty text is the end id alone. Repeated rows give repeated pieces.
+    Ids are those of ``tokenizers`` at its defaults, special tokens in a text included. A null or
+    empty text is the end id alone. Repeated rows give repeated pieces.
     """
     end = np.array([END], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = token_cache(path)
+        encode = text_encoder(path)
         for batch in batches:
             for part, texts in groups(batch):
                 ids = part.column(0).cast(pa.int64()).to_pylist()
                 rows = []
-                for doc, raw in zip(ids, cache.ids_of(texts), strict=True):
+                for doc, raw in zip(ids, encode(texts), strict=True):
                     raw += end
                     for k, (start, n) in enumerate(cut(len(raw) // 4, capacity)):
                         body = raw[4 * start : 4 * (start + n)]

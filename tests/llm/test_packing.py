@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 from conftest import SMALL
-from corpus import empty, hard
+from corpus import empty, hard, table
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -118,3 +118,13 @@ def test_ids_of_odd_texts():
     want = tokenizer.encode_batch(texts, add_special_tokens=False)
     got = packing.token_cache(PATH).ids_of(texts)
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [w.ids for w in want]
+
+
+def test_special_tokens_in_texts(spark):
+    """With the library left at its defaults."""
+    tokenizer = Tokenizer.from_file(PATH)
+    pairs = [(1, "a <|endoftext|> b"), (2, "<|endoftext|><|endoftext|>"), (3, "<|endoftext"), (4, " x <|endoftext|>\n y")]
+    rows = packing.token_pieces(table(spark, *pairs), PATH).collect()
+    want = [(i, [*tokenizer.encode(t, add_special_tokens=False).ids, 0]) for i, t in pairs]
+    assert sorted((r[0], r["length"], r["ids_crc32"]) for r in rows) == [(i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in want]
+    assert 50256 in want[0][1]
