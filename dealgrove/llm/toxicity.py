@@ -343,7 +343,10 @@ def filter_toxic(docs: DataFrame, model: Model | None) -> DataFrame:
             for part, texts in groups(batch):
                 yield part.filter(pa.array(_scores(model, texts, odds)[0] < THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    # A column's name may hold a dot, which the call would read as a field of a struct.
+    names = [c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]
+    plain = docs.toDF(*names)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def held_out() -> Column:
