@@ -133,31 +133,27 @@ def extract_fields(cards: DataFrame) -> DataFrame:
 
 
 def jsonld_items(html: Column) -> Column:
-    """All JSON-LD objects of the markup as JSON text; lists flattened, bad JSON skipped."""
-    blocks = F.filter(
-        F.regexp_extract_all(html, F.lit(_JSONLD), F.lit(1)),
-        lambda b: F.try_parse_json(b).isNotNull(),
-    )
-    as_list = F.transform(
-        blocks,
-        lambda b: F.when(F.ltrim(b).startswith("["), F.from_json(b, "array<string>")).otherwise(
-            F.array(b)
-        ),
+    """All JSON-LD objects of the markup as variants; lists flattened, bad JSON skipped.
+
+    Each block is parsed once; everything later reads the parsed value.
+    """
+    marked = F.contains(F.lower(html), F.lit("ld+json"))
+    blocks = F.when(marked, F.regexp_extract_all(html, F.lit(_JSONLD), F.lit(1))).otherwise(
+        F.array().cast("array<string>")
     )
-    return F.filter(F.flatten(as_list), lambda i: F.ltrim(i).startswith("{"))
+    parsed = F.filter(F.transform(blocks, F.try_parse_json), lambda v: v.isNotNull())
+    as_list = F.transform(parsed, lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v)))
+    return F.filter(F.flatten(as_list), _is_object)
+
+
+def _is_object(value: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
 
 
 def jsonld_blocks(pages: DataFrame, html: str = "html") -> DataFrame:
     """One row per JSON-LD object: the page's other columns, ``pos`` and ``payload``."""
     keep = [c for c in pages.columns if c != html]
-    rows = pages.select(*keep, F.posexplode(jsonld_items(F.col(html))).alias("pos", "payload"))
-    return rows.withColumn("payload", F.try_parse_json("payload"))
-
-
-_LD_FIELDS = (
-    "struct<`@type`:string,name:string,brand:string,sku:string,mpn:string,gtin:string,"
-    "image:string,offers:string>"
-)
+    return pages.select(*keep, F.posexplode(jsonld_items(F.col(html))).alias("pos", "payload"))
 
 
 def with_jsonld(df: DataFrame, html: str = "card") -> DataFrame:
@@ -166,56 +162,52 @@ def with_jsonld(df: DataFrame, html: str = "card") -> DataFrame:
     A ``has_*`` flag tells a key that is present, even with a null value, from one
     that is not there.
     """
-    picked = df.withColumn(
-        "_item",
-        F.get(
-            F.filter(
-                jsonld_items(F.col(html)),
-                lambda i: F.get_json_object(i, "$['@type']") == "Product",
-            ),
-            F.lit(0),
-        ),
-    ).withColumn("_p", F.from_json("_item", _LD_FIELDS))
-    offers = F.col("_p.offers")
-    offer = F.when(
-        F.ltrim(offers).startswith("["), F.get(F.from_json(offers, "array<string>"), F.lit(0))
-    ).otherwise(offers)
-    picked = picked.withColumn("_offer", F.when(F.ltrim(offer).startswith("{"), offer))
-
-    def has(text: str, key: str) -> Column:
-        return F.coalesce(F.array_contains(F.json_object_keys(text), key), F.lit(False))
-
-    price = F.get_json_object("_offer", "$.price")
-    price_kind = F.schema_of_variant(
-        F.try_variant_get(F.try_parse_json("_offer"), "$.price", "variant")
+
+    def part(value, path: str, kind: str = "variant") -> Column:
+        return F.try_variant_get(value, path, kind)
+
+    products = F.filter(jsonld_items(F.col(html)), lambda i: part(i, "$['@type']", "string") == "Product")
+    picked = _settled(df.withColumn("_item", F.get(products, F.lit(0))))
+    offers = part("_item", "$.offers")
+    first_offer = F.coalesce(part(offers, "$[0]"), offers)
+    picked = _settled(
+        picked.withColumns(
+            {
+                "_brand": part("_item", "$.brand"),
+                "_image": part("_item", "$.image"),
+                "_offer": F.when(_is_object(first_offer), first_offer),
+            }
+        )
     )
-    brand, image = F.col("_p.brand"), F.col("_p.image")
-    ready = F.get_json_object("_offer", "$.availability")
+
+    def text(value: Column) -> Column:
+        return part(value, "$", "string")
+
+    brand, image, offer = F.col("_brand"), F.col("_image"), F.col("_offer")
+    price = part(offer, "$.price")
+    ready = part(offer, "$.availability", "string")
     layer = F.struct(
-        F.col("_p.name").alias("title"),
-        has("_item", "name").alias("has_title"),
-        F.when(
-            F.ltrim(brand).startswith("{"),
-            F.coalesce(F.get_json_object(brand, "$.name"), F.lit("")),
-        ).otherwise(brand).alias("brand"),
-        has("_item", "brand").alias("has_brand"),
-        F.col("_p.sku").alias("sku"),
-        F.col("_p.mpn").alias("mpn"),
-        F.col("_p.gtin").alias("gtin"),
-        F.when(F.ltrim(image).startswith("["), F.get(F.from_json(image, "array<string>"), F.lit(0)))
-        .when(~F.ltrim(image).startswith("{"), image)
+        part("_item", "$.name", "string").alias("title"),
+        part("_item", "$.name").isNotNull().alias("has_title"),
+        F.when(_is_object(brand), F.coalesce(part(brand, "$.name", "string"), F.lit(""))).otherwise(text(brand)).alias("brand"),
+        brand.isNotNull().alias("has_brand"),
+        part("_item", "$.sku", "string").alias("sku"),
+        part("_item", "$.mpn", "string").alias("mpn"),
+        part("_item", "$.gtin", "string").alias("gtin"),
+        F.when(F.schema_of_variant(image).startswith("ARRAY"), part(image, "$[0]", "string"))
+        .when(~_is_object(image), text(image))
         .alias("image_url"),
-        F.when(price_kind == "STRING", pricing.parse_price(price))
-        .otherwise(price.try_cast(pricing.MONEY))
+        F.when(F.schema_of_variant(price) == "STRING", pricing.parse_price(text(price)))
+        .otherwise(text(price).try_cast(pricing.MONEY))
         .alias("price"),
-        has("_offer", "price").alias("has_price"),
-        F.get_json_object("_offer", "$.priceCurrency").alias("currency"),
+        price.isNotNull().alias("has_price"),
+        part(offer, "$.priceCurrency", "string").alias("currency"),
         F.when(F.contains(ready, F.lit("InStock")), True)
         .when(F.contains(ready, F.lit("OutOfStock")), False)
         .alias("in_stock"),
     )
     return picked.withColumn("ld", F.when(F.col("_item").isNotNull(), layer)).drop(
-        "_item", "_p", "_offer"
+        "_item", "_brand", "_image", "_offer"
     )
 
 

@@ -104,3 +104,26 @@ def test_structured_data_beats_the_general_brand_but_not_the_stores_own(spark):
         site = source(spark, ("Store", kind)).withColumn("selectors", _map(dims.selectors(kind)))
         got[kind] = extract.parse_cards(landed, site).first()["brand"]
     assert got == {"general": "Labelled", "soccer": "Shown"}
+
+
+def test_structured_data_is_read_from_one_parse(spark):
+    tag = '<script type="application/ld+json">{}</script>'
+    cases = [
+        '{"@type":"Product","name":null,"brand":{"name":"B"},"sku":5,"image":["a","b"],"offers":{"price":"$1,234.50","priceCurrency":"EUR","availability":"http://x/InStock"}}',
+        '[{"@type":"Thing"},{"@type":"Product","brand":{"x":1},"image":{"u":1},"offers":[{"price":12.5}]}]',
+        "{bad", '[1,"x",{"@type":"Product","brand":"Own","image":"i","offers":[3],"gtin":"007"}]', '{"@type":["Product"]}',
+        '{"@type":"Product","offers":{"price":null},"brand":null}', "",
+    ]
+    rows = [(i, tag.format(c)) for i, c in enumerate(cases)] + [(7, None), (8, tag.format(cases[2]) + "<SCRIPT id=a type='application/LD+Json'>{\"n\": 1}</SCRIPT>")]
+    df = spark.createDataFrame(rows, "i int, card string")
+    got = {r["i"]: r["ld"] and r["ld"].asDict() for r in extract.with_jsonld(df).collect()}
+    keys = ("title", "has_title", "brand", "has_brand", "sku", "gtin", "image_url", "price", "has_price", "currency", "in_stock")
+    want = {
+        0: (None, True, "B", True, "5", None, "a", Decimal("1234.50"), True, "EUR", True),
+        1: (None, False, "", True, None, None, None, Decimal("12.50"), True, None, None),
+        3: (None, False, "Own", True, None, "007", "i", None, False, None, None),
+        5: (None, False, None, True, None, None, None, None, True, None, None),
+    }
+    assert {i: tuple(r[k] for k in keys) for i, r in got.items() if r} == want
+    counts = {r["i"]: r["count"] for r in extract.jsonld_blocks(df, "card").groupBy("i").count().collect()}
+    assert counts == {0: 1, 1: 2, 3: 1, 4: 1, 5: 1, 8: 1}
