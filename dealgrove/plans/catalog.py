@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import week_label
+from ..functions.numbers import round_half_even
 from ..operators import (
     aggregates,
     dedup,
@@ -1103,8 +1104,12 @@ def stream_upsert(spark, d):
     "CAST(value AS DECIMAL(12,2)) AS price, CAST(500 AS DECIMAL(12,2)) AS msrp, "
     "date_trunc('hour', ts) - to_hours(unnest(range(24))) AS w FROM events) "
     "SELECT retailer, strftime(w, '%Y-%m-%d %H') AS window_start, count(*) AS total_deals, "
-    "count_if(youth) AS youth_deals, round(avg(CAST((50000 - CAST(price * 100 AS BIGINT)) * 100 "
-    "AS DOUBLE) / 50000), 6) AS avg_discount FROM e GROUP BY 1, 2",
+    "count_if(youth) AS youth_deals, "
+    + sql.round_half_even(
+        "(CAST(sum(CAST(CAST((50000 - CAST(price * 100 AS BIGINT)) * 100 AS DOUBLE) / 50000 AS DECIMAL(18,10))) "
+        "AS DOUBLE) / count(*))", 6
+    )
+    + " AS avg_discount FROM e GROUP BY 1, 2",
 )
 def stream_rolling_stats(spark, d):
     folder = _run_folder(spark, "stats")
@@ -1119,5 +1124,5 @@ def stream_rolling_stats(spark, d):
     stats = jobs_.latest_stats(spark, f"{folder}/data")
     return stats.select(
         "retailer", F.date_format("window_start", "yyyy-MM-dd HH").alias("window_start"),
-        "total_deals", "youth_deals", F.round("avg_discount", 6).alias("avg_discount"),
+        "total_deals", "youth_deals", round_half_even(F.col("avg_discount"), 6).alias("avg_discount"),
     )

@@ -174,7 +174,8 @@ def pane_sums(deals: DataFrame, late: str = "1 hour", pane: str = "1 hour") -> D
             F.count(F.lit(1)).alias("n"),
             F.count_if("youth_flag").alias("youth"),
             F.count(pct).alias("n_pct"),
-            F.sum(pct).alias("sum_pct"),
+            # Decimals add up to the same sum in any order, so panes add up to what the rows would.
+            F.sum(pct.cast("decimal(28,10)")).alias("sum_pct"),
             F.max("last_seen").alias("last"),
         )
         .select(F.col("window.start").alias("pane"), "retailer", "n", "youth", "n_pct", "sum_pct", "last")
@@ -191,7 +192,7 @@ def roll_up(panes: DataFrame, length: str = "24 hours", slide: str = "1 hour") -
         .agg(
             F.sum("n").alias("total_deals"),
             F.sum("youth").alias("youth_deals"),
-            F.coalesce(F.sum("sum_pct") / F.nullif(F.sum("n_pct"), F.lit(0)), F.lit(0.0)).alias("avg_discount"),
+            F.coalesce(F.sum("sum_pct").cast("double") / F.nullif(F.sum("n_pct"), F.lit(0)), F.lit(0.0)).alias("avg_discount"),
             F.max("last").alias("last_updated"),
         )
         .select(
