@@ -23,8 +23,8 @@ from ..operators import (
 )
 from ..operators.scoring import SUB_SCORES, score_deals, with_pricing
 from ..schema import DigestParams
-from ..session import cut_lineage, shared_dir
-from ..sources import pages, tables
+from ..session import cut_lineage, shared_dir, shared_table
+from ..sources import keyed, pages, tables
 from ..streaming import jobs as jobs_
 from . import digest, pipelines, sample
 from . import oracle as sql
@@ -534,9 +534,18 @@ def price_history_for(spark, d):
     )
 
 
-@query(
-    "upsert_deals",
-    sql.with_deals(
+def _upsert_rows(spark, d):
+    """(stored, arriving): regular offers form the stored table, clearance offers an update."""
+    rows = deals(spark, d).select(
+        F.concat(F.lit("sku:"), "sku").alias("id"), "seq", "brand", "retailer", "coupon_code",
+        "in_stock", "stock_level", "price", "promotion_type",
+    )
+    stored = rows.filter(F.col("promotion_type").isNull()).drop("promotion_type")
+    arriving = rows.filter(F.col("promotion_type").isNotNull()).drop("promotion_type")
+    return merge.latest_values(stored, "id", ["seq"]), arriving
+
+
+_UPSERTED = sql.with_deals(
         "SELECT 'sku:' || sku AS id, "
         + ", ".join(
             f"arg_max({c}, batch || seq) FILTER (WHERE {c} IS NOT NULL) AS {c}"
@@ -545,20 +554,25 @@ def price_history_for(spark, d):
         + ", CAST(arg_max(price, batch || seq) AS DOUBLE) AS price FROM ("
         "SELECT *, CASE WHEN promotion_type IS NULL THEN 0 ELSE 1 END AS batch FROM deals) "
         "GROUP BY 1"
-    ),
-)
-def upsert_deals(spark, d):
-    """Regular offers form the stored table, clearance offers arrive as an update."""
-    rows = deals(spark, d).select(
-        F.concat(F.lit("sku:"), "sku").alias("id"), "seq", "brand", "retailer", "coupon_code",
-        "in_stock", "stock_level", "price", "promotion_type",
     )
-    stored = rows.filter(F.col("promotion_type").isNull()).drop("promotion_type")
-    arriving = rows.filter(F.col("promotion_type").isNotNull()).drop("promotion_type")
-    merged = merge.upsert_deals(merge.latest_values(stored, "id", ["seq"]), arriving)
+
+
+@query("upsert_deals", _UPSERTED)
+def upsert_deals(spark, d):
+    merged = merge.upsert_deals(*_upsert_rows(spark, d))
     return merged.withColumn("price", F.col("price").cast("double"))
 
 
+@query("upsert_deals_keyed", _UPSERTED)
+def upsert_deals_keyed(spark, d):
+    """The same on a stored table, of which only the batch's buckets are read and rewritten."""
+    stored, arriving = _upsert_rows(spark, d)
+    path = shared_table(spark, "keyed_deals")
+    keyed.create_keyed(stored, path)
+    keyed.upsert_keyed(spark, path, arriving)
+    return keyed.read_keyed(spark, path).withColumn("price", F.col("price").cast("double"))
+
+
 _SESSIONS = (
     "s AS (SELECT user_id || ':' || CAST(CAST(ts AS DATE) AS VARCHAR) AS session_id, "
     "'store' || (user_id % 10) AS retailer, CAST(ts AS DATE) AS started_at, "
