@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import week_label
 from ..functions.numbers import round_half_even
+from ..functions.pricing import clean_price
+from ..functions.sizes import normalize_size
 from ..operators import (
     aggregates,
     dedup,
@@ -372,9 +374,7 @@ def duplicate_groups(spark, d):
     return _groups(spark, d)
 
 
-@query("merge_groups", sql.with_groups(sql.MERGED))
-def merge_groups(spark, d):
-    merged = dedup.merge_groups(*_scored_groups(spark, d))
+def _merged(merged):
     return merged.select(
         "seed_seq", "id", "group_size", F.col("price").cast("double").alias("price"),
         F.col("msrp").cast("double").alias("msrp"), F.array_join("sizes", ",").alias("sizes"),
@@ -385,6 +385,14 @@ def merge_groups(spark, d):
     )
 
 
+query("merge_groups", sql.with_groups(sql.MERGED))(
+    lambda spark, d: _merged(dedup.merge_groups(*_scored_groups(spark, d)))
+)
+query("deduplicate", sql.with_groups(sql.MERGED))(
+    lambda spark, d: _merged(dedup.deduplicate(score_deals(deals(spark, d))))
+)
+
+
 @query(
     "alternate_offers",
     sql.with_groups(
@@ -741,6 +749,64 @@ query(
         F.count_if(F.size("errors") > 0).alias("n_rejected"),
     )
 )
+_PART = "CAST(sku AS BIGINT)"
+
+
+@query(
+    "broken_deals",
+    sql.with_deals(
+        f"SELECT id, CASE {_PART} % 10 WHEN 1 THEN 'price is out of range' "
+        "WHEN 2 THEN 'title must have 1 to 500 characters' WHEN 3 THEN 'currency is not an allowed value' "
+        "WHEN 4 THEN 'canonical_url must be absolute' WHEN 5 THEN 'retailer is required' "
+        "WHEN 6 THEN 'sport is not an allowed value' ELSE 'brand must have 0 to 100 characters' END AS errors "
+        f"FROM deals WHERE {_PART} % 10 BETWEEN 1 AND 7"
+    ),
+)
+def broken_deals(spark, d):
+    """Deals of seven in ten parts, each spoilt in one way, and what the check says of them."""
+    kind = F.col("sku").cast("bigint") % 10
+    spoilt = {
+        "price": (1, -1 - F.col("price")), "title": (2, F.lit("")), "currency": (3, F.lit("EUR")),
+        "canonical_url": (4, F.lit("shop/x")), "retailer": (5, F.lit(None).cast("string")),
+        "sport": (6, F.lit("curling")), "brand": (7, F.repeat(F.lit("x"), F.lit(101))),
+    }
+    rows = deals(spark, d).withColumns(
+        {c: F.when(kind == n, value).otherwise(F.col(c)) for c, (n, value) in spoilt.items()}
+    )
+    rejected = quality.check_deal_constraints(rows)[1]
+    return rejected.select("id", F.array_join("errors", "|").alias("errors"))
+
+
+@query(
+    "check_columns",
+    sql.with_deals(
+        f"SELECT id, {_PART} % 3 = 0 AS url_ok, {_PART} % 4 >= 2 OR ({_PART} % 4 = 1 AND price = 0) AS price_text_ok, "
+        f"{_PART} % 5 <> 0 AND mpn IS NOT NULL AS part_ok, "
+        f"CASE {_PART} % 6 WHEN 0 THEN 'JR' WHEN 1 THEN 'KIDS' WHEN 2 THEN 'BOY' WHEN 3 THEN 'GIRL' "
+        "WHEN 4 THEN 'XL' ELSE '' END AS size, "
+        f"CASE WHEN {_PART} % 4 <> 0 THEN CAST(price AS DOUBLE) END AS read_price, "
+        "CAST(price AS DOUBLE) AS plain_price FROM deals"
+    ),
+)
+def check_columns(spark, d):
+    """Links, prices, part numbers and sizes, good and bad ones, through the column checks."""
+    part = F.col("sku").cast("bigint")
+    price = F.col("price").cast("string")
+    rows = deals(spark, d).select(
+        "id", "price",
+        F.when(part % 3 == 0, F.col("canonical_url")).when(part % 3 == 1, "/x").alias("url"),
+        F.when(part % 4 == 0, "abc").when(part % 4 == 1, F.concat(F.lit("-"), price)).otherwise(price).alias("price_text"),
+        F.when(part % 5 == 0, "x").otherwise(F.col("mpn")).alias("part"),
+        F.get(F.array(*map(F.lit, [" junior ", "Kid", "boys", "GIRLS", "xl ", None])), (part % 6).cast("int")).alias("size"),
+    )
+    checked = quality.check_price(quality.check_url(rows, "url"), "price_text")
+    return quality.check_mpn(checked, "part").select(
+        "id", "url_ok", "price_text_ok", "part_ok", normalize_size(F.col("size")).alias("size"),
+        clean_price(F.col("price_text"), "string").cast("double").alias("read_price"),
+        clean_price(F.col("price"), "decimal(12,2)").cast("double").alias("plain_price"),
+    )
+
+
 query(
     "sanitize_column",
     r"SELECT page_id, sha256(t) AS html FROM (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, "
@@ -916,6 +982,27 @@ def session_stats(spark, d):
     return extract.session_stats(landed, cards).drop("session_id", "started_at", "ended_at")
 
 
+@query(
+    "failed_sessions",
+    sql.with_deals(
+        "SELECT retailer, count(*) - errors AS pages_scraped, 2 * (count(*) - errors) AS items_found, "
+        "count(*) - errors AS items_parsed, errors, CASE WHEN errors = 0 THEN 'completed' ELSE 'failed' END AS status, "
+        "CASE WHEN count(*) > errors THEN 50.0::DOUBLE ELSE 0.0::DOUBLE END AS success_rate, "
+        "CAST(epoch(max(last_seen)) - epoch(min(last_seen)) AS DOUBLE) AS duration_seconds FROM "
+        f"(SELECT *, count_if({_PART} % 40 = 0 AND CAST(split_part(retailer, '_', 2) AS INTEGER) % 2 = 0) "
+        "OVER (PARTITION BY retailer) AS errors FROM deals) GROUP BY retailer, errors"
+    ),
+)
+def failed_sessions(spark, d):
+    """Runs in which the pages of every fortieth part did not load at half of the retailers."""
+    lost = (F.split_part("offer", F.lit("-"), F.lit(3)).cast("bigint") % 40 == 0) & (
+        F.split_part("retailer", F.lit("_"), F.lit(2)).cast("int") % 2 == 0
+    )
+    landed = sample.listing_pages(spark, d).withColumn("html", F.when(~lost, F.col("html")))
+    cards = extract.parse_cards(landed, sample.sources(spark, d))
+    return extract.session_stats(landed, cards).drop("session_id", "started_at", "ended_at")
+
+
 # --- digest -----------------------------------------------------------------
 
 DIGEST = DigestParams()
