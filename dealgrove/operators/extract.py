@@ -360,7 +360,11 @@ def _settled(df: DataFrame) -> DataFrame:
 
 def extract_deals(pages: DataFrame, sources: DataFrame, id_mode: str = "plain") -> DataFrame:
     """The deals of all pages, in (retailer, page, card) order by ``seq``."""
-    cards = parse_cards(pages, sources, id_mode)
+    return deals_of(parse_cards(pages, sources, id_mode))
+
+
+def deals_of(cards: DataFrame) -> DataFrame:
+    """The cards that are deals, in (retailer, page, card) order by ``seq``."""
     seq = F.struct("retailer", "page_num", "source_url", "card_pos")
     return cards.filter(F.col("outcome") == "deal").withColumn("seq", seq).drop(
         "outcome", "errors", "fetched_at", "page_num", "card_pos"

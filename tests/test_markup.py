@@ -10,6 +10,7 @@ from test_jobs import PAGE, source
 from dealgrove import dims, fixed
 from dealgrove.functions import markup
 from dealgrove.operators import extract
+from dealgrove.plans import pipelines
 
 
 def found(spark, html, *wanted, part="outer"):
@@ -127,3 +128,21 @@ def test_structured_data_is_read_from_one_parse(spark):
     assert {i: tuple(r[k] for k in keys) for i, r in got.items() if r} == want
     counts = {r["i"]: r["count"] for r in extract.jsonld_blocks(df, "card").groupBy("i").count().collect()}
     assert counts == {0: 1, 1: 2, 3: 1, 4: 1, 5: 1, 8: 1}
+
+
+def test_a_crawl_ends_at_an_empty_failed_or_short_page(spark):
+    card = '<div class=product-card><b class=product-title>Boot {n}</b><i class=sale-price>$5.00</i><s class=was-price>$10.00</s><a href="/p/{n}">x</a></div>'
+    page = lambda *names: "".join(card.format(n=n) for n in names)
+    now = datetime(2024, 1, 1)
+    rows = [
+        ("Empty", 1, "e1", page(1, 2), now), ("Empty", 2, "e2", "<p>none</p>", now), ("Empty", 3, "e3", page(3, 4), now),
+        ("Failed", 1, "f1", page(5, 6), now), ("Failed", 2, "f2", None, now), ("Failed", 3, "f3", page(7), now),
+        ("Short", 1, "s1", page(8, 9), now), ("Short", 2, "s2", page(10), now), ("Short", 3, "s3", page(11, 12), now),
+        ("Whole", 1, "w1", page(13, 14), now), ("Whole", 2, "w2", page(15, 16), now),
+    ]
+    names = ("Empty", "Failed", "Short", "Whole")
+    sites = source(spark, *[(n, "general") for n in names]).withColumn("min_items_per_page", F.lit(2))
+    landed = spark.createDataFrame(rows, PAGE).withColumn("url", F.concat(F.lit("https://s.example/"), "url"))
+    valid, _ = pipelines.fetch(landed, sites)
+    got = sorted(int(r["title"].split()[1]) for r in valid.collect())
+    assert got == [1, 2, 5, 6, 8, 9, 10, 13, 14, 15, 16]
