@@ -81,10 +81,10 @@ def read_fields(cards: DataFrame) -> DataFrame:
     """
     inner = [n for n in FIELDS if n not in _ATTRIBUTES]
     first = F.array(*[F.struct(_pattern(n).alias("pattern"), markup(n).alias("inner")) for n in inner])
-    found = _settled(cards.withColumn("_inner", F.transform(first, _whole)))
+    found = settled(cards.withColumn("_inner", F.transform(first, _whole)))
     raw = {n: F.col("_inner")[i] for i, n in enumerate(inner)} | {n: markup(n) for n in _ATTRIBUTES}
     marked = found.withColumn("raw", F.struct(*[raw[n].alias(n) for n in FIELDS])).drop("_inner")
-    return _settled(
+    return settled(
         marked.withColumn("txt", F.struct(*[clean_text(strip_tags(F.col(f"raw.{n}"))).alias(n) for n in inner]))
     )
 
@@ -167,10 +167,10 @@ def with_jsonld(df: DataFrame, html: str = "card") -> DataFrame:
         return F.try_variant_get(value, path, kind)
 
     products = F.filter(jsonld_items(F.col(html)), lambda i: part(i, "$['@type']", "string") == "Product")
-    picked = _settled(df.withColumn("_item", F.get(products, F.lit(0))))
+    picked = settled(df.withColumn("_item", F.get(products, F.lit(0))))
     offers = part("_item", "$.offers")
     first_offer = F.coalesce(part(offers, "$[0]"), offers)
-    picked = _settled(
+    picked = settled(
         picked.withColumns(
             {
                 "_brand": part("_item", "$.brand"),
@@ -338,7 +338,7 @@ def parse_cards(pages: DataFrame, sources: DataFrame, id_mode: str = "plain") ->
             "first_seen": seen,
         }
     )
-    checked = deal_constraints(_settled(shaped.drop("src", "card", "raw", "txt", "ld")))
+    checked = deal_constraints(settled(shaped.drop("src", "card", "raw", "txt", "ld")))
     return checked.withColumn(
         "outcome",
         F.when(F.col("g").isNull(), "skipped")
@@ -347,7 +347,7 @@ def parse_cards(pages: DataFrame, sources: DataFrame, id_mode: str = "plain") ->
     ).drop("g")
 
 
-def _settled(df: DataFrame) -> DataFrame:
+def settled(df: DataFrame) -> DataFrame:
     """Compute the columns once per row.
 
     A filter on a computed column is normally pushed below the projection, which

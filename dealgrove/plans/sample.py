@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import dims
+from ..operators.extract import settled
 from ..schema import SOURCE
 from ..sources.pages import with_source_defaults
 from ..sources.tables import spread
@@ -297,7 +298,7 @@ def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         '<a href="/soon">View</a></div>'
         '<div class="footer"><span class="sale-price">$1.00</span></div>'
     )
-    return d.select(
+    pages = d.select(
         "retailer",
         F.lit(1).alias("page_num"),
         F.concat(F.lit("https://land.example/"), "seq").alias("url"),
@@ -305,6 +306,8 @@ def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("last_seen").alias("fetched_at"),
         F.col("id").alias("offer"),
     )
+    # Else a filter on the markup would carry its whole expression through the planning.
+    return settled(pages)
 
 
 # --- price history and sessions ----------------------------------------------
