@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -48,6 +49,7 @@ class ByteBpe:
         for rank in sorted(self.token_bytes):
             self._learn(rank)
         self.fits: dict[tuple[int, int], bool] = {}
+        self.pieces: dict[str, bytes] = {}
 
     @classmethod
     def read(cls, path: str) -> ByteBpe:
@@ -142,15 +144,38 @@ class ByteBpe:
                 break
         return out
 
-    def encode_chunk(self, chunk: str) -> list[int]:
-        ids: list[int] = []
-        for piece in self.pattern.findall(chunk):
-            ids += self.encode_piece(piece.encode())
-        return ids
+    def packed(self, piece: str) -> bytes:
+        """The ids of one match of the pattern as little-endian 32-bit bytes; the last ones are remembered."""
+        if (known := self.pieces.get(piece)) is None:
+            if len(self.pieces) > 500_000:
+                self.pieces.clear()
+            ids = self.encode_piece(piece.encode())
+            known = self.pieces[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        return known
+
+    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        """Packed ids of each stretch.
+
+        Those of a blank and a word, between whose last and next first character no match of the
+        pattern reaches, are put end to end, matched at once and cut at their ends again.
+        """
+        out = [b""] * len(chunks)
+        joined = [i for i, c in enumerate(chunks) if c[:1] == " " and c[1:2].strip() and c[-1:].strip()]
+        for i in set(range(len(chunks))).difference(joined):
+            out[i] = b"".join(map(self.packed, self.pattern.findall(chunks[i])))
+        for a in range(0, len(joined), 50_000):
+            part = joined[a : a + 50_000]
+            pieces = self.pattern.findall("".join([chunks[i] for i in part]))
+            ends = np.cumsum([len(chunks[i]) for i in part])
+            stop = (np.searchsorted(np.cumsum([len(p) for p in pieces]), ends) + 1).tolist()
+            ids, start = list(map(self.packed, pieces)), 0
+            for i, end in zip(part, stop, strict=True):
+                out[i], start = ids[start] if end == start + 1 else b"".join(ids[start:end]), end
+        return out
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text, without special tokens."""
-        return self.encode_chunk(text)
+        return [i for piece in self.pattern.findall(text) for i in self.encode_piece(piece.encode())]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token_bytes.__getitem__, ids))
@@ -159,8 +184,7 @@ class ByteBpe:
 @lru_cache(maxsize=2)
 def _cached(path: str) -> tuple[ByteBpe, ChunkIds, list[bytes]]:
     bpe = ByteBpe.read(path)
-    ids = ChunkIds(lambda cs: (np.array(bpe.encode_chunk(c), "<u4").tobytes() for c in cs))
-    return bpe, ids, [b"%d" % i for i in range(max(bpe.token_bytes) + 1)]
+    return bpe, ChunkIds(bpe.encode_chunks), [b"%d" % i for i in range(max(bpe.token_bytes) + 1)]
 
 
 def encode_documents(docs: DataFrame, path: str, digest: bool = False) -> DataFrame:
