@@ -78,16 +78,20 @@ def propagate(nodes: DataFrame, linked: DataFrame, shards: int, rounds: int) ->
             "wanted_moves",
         )
         asked = {(r[0], r[1]): r[2] for r in want.groupBy("shard", "to").agg(F.sum("weight")).collect()}
-        share = F.lit(0.0)
+        if not asked:
+            break
+        parts = []
         for (a, b), w in sorted(asked.items()):
             # Swaps keep both shards level; beyond them room is handed out in proportion.
             swap = min(w, asked.get((b, a), 0))
             over = sum(max(0, n - asked.get((b, c), 0)) for (c, d), n in asked.items() if d == b)
             room = max(0.0, capacity - load.get(b, 0))
-            part = min(1.0, (swap + max(0, w - swap) * min(1.0, room / over if over else 0.0)) / w)
-            share = F.when((F.col("shard") == a) & (F.col("to") == b), part).otherwise(share)
+            parts.append((a, b, min(1.0, (swap + max(0, w - swap) * min(1.0, room / over if over else 0.0)) / w)))
+        # A row for each two shards at most, so its size is bounded.
+        quotas = F.broadcast(nodes.sparkSession.createDataFrame(parts, "shard int, to int, part double"))
         heavy = F.col("weight") > (capacity / 4)
-        moves = want.where(~heavy & (_unit(F.col("node"), turn) < share)).select("node", "to")
+        drawn = want.join(quotas, ["shard", "to"]).where(~heavy & (_unit(F.col("node"), turn) < F.col("part")))
+        moves = drawn.select("node", "to")
         moved = placed.join(moves, "node", "left")
         placed = stored(moved.select("node", "weight", F.coalesce("to", "shard").alias("shard")), "placed")
     return placed
