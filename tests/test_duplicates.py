@@ -181,3 +181,16 @@ def test_a_group_of_many_offers_keeps_each_of_them(make_deals):
     offers = dedup.alternate_offers(df, groups).orderBy("rank").collect()
     assert [(o["rank"], o["seq"], o["retailer"]) for o in offers] == [(i, d["seq"], d["retailer"]) for i, d in enumerate(others, 1)]
     assert dedup.mark_duplicates(df, groups).filter("is_duplicate").count() == 2299
+
+
+def test_profiles_that_meet_none_have_no_cells(make_deals):
+    """A profile that holds and reads only itself needs no cell: it meets its deals under its own key."""
+    df = make_deals(
+        deal(1, title="aaaa", price=10), deal(2, title="bbbb", price=10), deal(3, title="aaaa", price=90),
+        deal(4, title="cccc", price=50), deal(5, title="cccc", price=51), deal(6, title="cccc", price=50),
+    )
+    comp = grouping._numbered(df).withColumn("key", F.col("seq").cast("string"))
+    lists, reads = grouping._profile_cells(comp.filter("seq <> 6"), titles.similar_titles(comp))
+    assert {r["key"] for r in lists.collect()} == {r["key"] for r in reads.collect()} == {"4", "5"}
+    got = {r["seq"]: r["seed_seq"] for r in dedup.duplicate_groups(df).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 4, 6: 4}
