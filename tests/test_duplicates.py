@@ -194,3 +194,23 @@ def test_profiles_that_meet_none_have_no_cells(make_deals):
     assert {r["key"] for r in lists.collect()} == {r["key"] for r in reads.collect()} == {"4", "5"}
     got = {r["seq"]: r["seed_seq"] for r in dedup.duplicate_groups(df).collect()}
     assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 4, 6: 4}
+
+
+def test_a_price_asks_once_for_all_sizes(make_deals, monkeypatch):
+    df = make_deals(*[deal(i, price=30, sizes=[f"s{i}", "all"]) for i in range(30)], deal(30, price=30, sizes=["none"]))
+    asked, join = [], pairing.sliced_join
+    monkeypatch.setattr(pairing, "sliced_join", lambda left, right, keys: (asked.append(left.count()), join(left, right, keys))[1])
+    got = {r["seq"]: r["links"] for r in pairing.fuzzy_links(df).collect()}
+    assert got == dict.fromkeys(range(30), 29)
+    nodes = df.limit(1).select(F.size(price_tree.covering_nodes(F.lit(3000).cast("bigint"), 10))).first()[0]
+    assert asked[0] == nodes
+
+
+def test_links_read_the_deals_once(spark, make_deals):
+    """The deals are read when the links are built; what comes after reads the stored columns."""
+    reads = spark.sparkContext.accumulator(0)
+    rows = make_deals(deal(1), deal(2), deal(3, title="Other")).rdd.map(lambda r: (reads.add(1), r)[1])
+    df = spark.createDataFrame(rows, make_deals(deal(1)).schema)
+    links = pairing.exact_links(df)
+    assert reads.value == 3
+    assert {(r["seq"], r["links"]) for r in links.collect()} == {(1, 1), (2, 1)} and reads.value == 3
