@@ -146,3 +146,11 @@ def test_a_crawl_ends_at_an_empty_failed_or_short_page(spark):
     valid, _ = pipelines.fetch(landed, sites)
     got = sorted(int(r["title"].split()[1]) for r in valid.collect())
     assert got == [1, 2, 5, 6, 8, 9, 10, 13, 14, 15, 16]
+
+
+def test_rules_read_the_text_in_lower_case_once(spark):
+    rules = "array<struct<keyword:string,value:string>>"
+    df = spark.createDataFrame([("Big SHOE", [("bag", "b"), ("shoe", "s"), ("big", "x")]), (None, [("a", "b")])], f"text string, rules {rules}")
+    found = df.select(extract.first_rule(F.col("text"), F.col("rules")).alias("value"))
+    assert [r["value"] for r in found.collect()] == ["s", None]
+    assert "contains(lower(" not in found._jdf.queryExecution().analyzed().toString().lower()
