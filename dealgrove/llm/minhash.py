@@ -29,6 +29,8 @@ SMALL_BUCKET = 6
 CENTRES = 3
 #: Nodes of a block: what larger buckets still hold apart is compared block by block.
 BLOCK = 1024
+#: Characters of a block, which bound it where texts are long.
+BLOCK_CHARS = 8_000_000
 #: Pairs whose signatures agree in less than the similarity minus so much are not looked at further:
 #: five standard deviations of the estimate, a chance (1e-6) below that of no common band.
 MARGIN = 0.16
@@ -250,18 +252,54 @@ def _met(members: DataFrame, labels: DataFrame, texts: DataFrame, centres: DataF
     return stored(likely(pairs, texts, similarity - MARGIN), "likely_pairs")
 
 
-def _blocks(mixed: DataFrame, texts: DataFrame, least: float, closest: bool) -> DataFrame:
+def _near(sets: list[np.ndarray], r: np.ndarray, w: np.ndarray, similarity: float, comp: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Pairs of ``r`` (ascending) and ``w`` that are near and join two components; ``comp`` is kept up to date.
+
+    Sets are held by what tells them from the elements that most of them share, which is little
+    in a family of copies, and the common part of two sets follows from that.
+    """
+    sizes = np.array([s.size for s in sets])
+    words, at = np.unique(np.concatenate(sets), return_inverse=True)
+    core = np.bincount(at, minlength=words.size) * 2 > len(sets)
+    apart, held = [], np.flatnonzero(core)
+    for own in np.split(at, np.cumsum(sizes)[:-1]):
+        apart.append(np.concatenate([own[~core[own]], np.setdiff1d(held, own, assume_unique=True)]))
+    rest = np.array([d.size for d in apart])
+    mark = np.zeros(words.size, np.int64)
+    for a, others in zip(r[np.r_[True, r[1:] != r[:-1]]], np.split(w, np.flatnonzero(r[1:] != r[:-1]) + 1), strict=True):
+        others = others[comp[others] != comp[a]]
+        if not others.size:
+            continue
+        mark[apart[a]] = 1
+        # Sums up to each set's end, so that a set may be empty.
+        upto = np.concatenate([[0], np.cumsum(mark[np.concatenate([apart[b] for b in others])])])
+        shared = np.diff(upto[np.concatenate([[0], np.cumsum(rest[others])])])
+        mark[apart[a]] = 0
+        both = (sizes[a] + sizes[others] - rest[a] - rest[others] + 2 * shared) // 2
+        for b in others[both >= similarity * (sizes[a] + sizes[others] - both)]:
+            if comp[a] != comp[b]:
+                comp[comp == comp[b]] = comp[a]
+                yield a, b
+
+
+def _blocks(mixed: DataFrame, texts: DataFrame, least: float, links: bool, similarity: float = SIMILARITY) -> DataFrame:
     """Likely pairs (a, b) of different components in the buckets ``mixed``, each pair once.
 
     The nodes of a bucket are dealt to blocks, and each two blocks meet in one group, so no group
-    grows with the bucket. A pair counts in the first of its common bands only. With ``closest``
-    a group gives just the most alike pair of each two components.
+    grows with the bucket. A pair counts in the first of its common bands only. With ``links``
+    the pairs are compared where they meet, and a group gives no more pairs than join its
+    components: less than it has nodes, however many are alike.
     """
+    given = texts.select("nid", "bands", "low", *["text"] * links)
     blocks = F.ceil(F.col("n") / BLOCK)
+    if links:
+        chars = mixed.select("key", "nid").join(texts.select("nid", F.length("text").alias("chars")), "nid").groupBy("key").agg(F.sum("chars").alias("chars"))
+        mixed = mixed.join(chars, "key")
+        blocks = F.greatest(blocks, F.ceil(F.col("chars") / BLOCK_CHARS))
     own = mixed.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("nid"), "blocks"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "nid", "comp")
-    dealt = dealt.join(texts.select("nid", "bands", "low"), "nid").select("key", "i", "j", "own", "nid", "comp", "bands", "low")
+    dealt = dealt.join(given, "nid").select("key", "i", "j", "own", "nid", "comp", *given.columns[1:])
 
     def run(group: pa.Table) -> pa.Table:
         key, i, j = (group.column(k)[0].as_py() for k in range(3))
@@ -269,24 +307,22 @@ def _blocks(mixed: DataFrame, texts: DataFrame, least: float, closest: bool) ->
         n = group.num_rows
         bands = group.column(6).combine_chunks().flatten().to_numpy().reshape(n, -1)
         low = np.frombuffer(b"".join(group.column(7).to_pylist()), np.uint8).reshape(n, -1)
-        found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         for r in range(n - 1):
             ok = comp[r + 1 :] != comp[r]
             if i != j:
                 ok &= own[r + 1 :] != own[r]
             with_ = np.flatnonzero(ok) + r + 1
             with_ = with_[bands[r][(bands[with_] == bands[r]).argmax(axis=1)] == key]
-            same = alike(low[with_], low[r])
-            good = same >= least
-            with_ = with_[good]
-            found.append((np.full(len(with_), r), with_, same[good]))
-        a, b, same = (np.concatenate(c) for c in zip(*found, strict=True))
-        if closest:
-            x, y = np.minimum(comp[a], comp[b]), np.maximum(comp[a], comp[b])
-            order = np.lexsort((-same, y, x))
-            x, y = x[order], y[order]
-            order = order[np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])][: len(order)]]
-            a, b = a[order], b[order]
+            with_ = with_[alike(low[with_], low[r]) >= least]
+            found.append((np.full(len(with_), r), with_))
+        a, b = (np.concatenate(c) for c in zip(*found, strict=True))
+        if links and a.size:
+            used, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+            hashes = WordHashes()
+            sets = [shingles(group.column(8)[int(u)].as_py(), hashes)[0] for u in used]
+            joined = list(_near(sets, at[: a.size], at[a.size :], similarity, comp[used]))
+            a, b = used[np.array(joined, np.int64).reshape(-1, 2).T]
         return pa.table({"a": np.minimum(nid[a], nid[b]), "b": np.maximum(nid[a], nid[b])})
 
     return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
@@ -305,10 +341,10 @@ def link(nodes: DataFrame, similarity: float = SIMILARITY, small: int = SMALL_BU
     All nodes of a bucket are compared with its centre, the node that meets most others over all
     its bands. Where a bucket then still holds several components, a small one has all pairs of
     different components compared, a large one each node with the centres of its ``CENTRES``
-    most popular components. Large buckets that stay mixed then have their closest pair of each
-    two components compared, and at last all pairs of different components that were not yet: no
-    likely pair of a bucket is left out. Only that last step can grow with the square of a bucket,
-    where it holds many texts that are alike and yet not near.
+    most popular components. Large buckets that stay mixed then have all likely pairs of different
+    components compared in blocks, which give no more links than join their components. The work
+    inside the blocks grows with the square of a bucket that holds many texts that are alike and
+    yet not near; the rows between them do not, but for a copy of each node for every 1024.
     """
     banded = stored(nodes.select("nid", F.explode("bands").alias("key")), "bands")
     sizes = stored(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "bucket_sizes")
@@ -324,8 +360,7 @@ def link(nodes: DataFrame, similarity: float = SIMILARITY, small: int = SMALL_BU
     centre = ranked.withColumn("comp", F.col("nid")).groupBy("key").agg(top)
     centre = centre.select("key", (-F.col("top.first")).alias("nid")).join(labels, "nid")
     centre = stored(centre.select("key", F.col("nid").alias("a"), F.col("comp").alias("x")), "centres")
-    tried = _met(members, labels, texts, centre, similarity)
-    labels = _joined(tried, labels, texts, similarity)
+    labels = _joined(_met(members, labels, texts, centre, similarity), labels, texts, similarity)
     mixed = _mixed(members, labels)
     few = mixed.where(F.col("n") <= small).select("key", F.col("nid").alias("a"), F.col("comp").alias("x"))
     many = mixed.where(F.col("n") > small).join(popular, "nid")
@@ -333,17 +368,10 @@ def link(nodes: DataFrame, similarity: float = SIMILARITY, small: int = SMALL_BU
     heads = many.groupBy("key", "comp").agg(top).withColumn("place", place).where(F.col("place") <= CENTRES)
     heads = heads.select("key", (-F.col("top.first")).alias("a"), F.col("comp").alias("x"))
     pairs = _met(mixed.select("key", "nid"), labels, texts, stored(few.union(heads), "centres"), similarity)
-    tried = tried.union(pairs)
     labels = _joined(pairs, labels, texts, similarity)
-    large = mixed.where(F.col("n") > small).select("key", "nid")
-    for closest in (True, False):
-        left = _mixed(large, labels)
-        pairs = _blocks(left, texts, similarity - MARGIN, closest).join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "block_pairs")
-        tried = tried.union(pairs)
-        labels = _joined(pairs, labels, texts, similarity)
-        large = left.select("key", "nid")
-    return labels
+    left = _mixed(mixed.where(F.col("n") > small).select("key", "nid"), labels)
+    links = stored(_blocks(left, texts, similarity - MARGIN, True, similarity), "block_links")
+    return components(links, labels) if links.limit(1).count() else labels
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weigh: str = "set") -> DataFrame:

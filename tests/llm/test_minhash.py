@@ -121,6 +121,28 @@ def test_blocks_give_each_pair_once(spark, monkeypatch):
         assert got == want
 
 
+def test_family_of_copies_gives_no_more_links_than_nodes(spark, monkeypatch):
+    """Copies that are alike and mostly not near are compared inside blocks; no pair of them becomes a row."""
+    base = prose(8, 200)
+    rng = np.random.default_rng(2)
+    texts = [(i, changed(base, *rng.choice(195, int(rng.integers(2, 9)), replace=False))) for i in range(60)]
+    nodes = minhash.sketch(table(spark, *texts)).selectExpr("doc_id as nid", "bands", "low", "text").cache()
+    mixed = nodes.selectExpr("nid", "explode(bands) as key", "nid as comp").selectExpr("*", "count(*) over (partition by key) as n")
+    want = classes(texts)
+    assert 1 < len(set(want)) < 60
+    for size, chars in ((1024, 8_000_000), (7, 8_000_000), (1024, 5_000)):
+        monkeypatch.setattr(minhash, "BLOCK", size)
+        monkeypatch.setattr(minhash, "BLOCK_CHARS", chars)
+        got = minhash._blocks(mixed.where("n > 1"), nodes, minhash.SIMILARITY - minhash.MARGIN, True).cache()
+        if (size, chars) == (1024, 8_000_000):
+            assert got.count() <= sum(r.n - 1 for r in mixed.where("n > 1").select("key", "n").distinct().collect())
+        links = {(r.a, r.b) for r in got.collect()}
+        sets = {i: grams(x) for i, x in texts}
+        assert all(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a, b in links)
+        comps = {r.nid: r.comp for r in minhash.components(got, nodes.selectExpr("nid", "nid as comp")).collect()}
+        assert [comps[i] for i, _ in texts] == want
+
+
 def test_margin_loses_less_than_banding():
     """At the similarity itself, signatures that agree too little are rarer than pairs without a common band."""
     from math import comb
