@@ -34,6 +34,18 @@ def test_quotes_and_words_of_a_class(spark):
     assert found(spark, "<p data-sku>x</p><p data-sku2=a>y</p>", "[data-sku]") == ["<p data-sku>x</p>"]
 
 
+def test_long_tags(spark):
+    """A tag is taken in runs: one of any length is read, and a class behind a long value is found."""
+    long = "x" * 50_000
+    for q in ('"', "'", ""):
+        tag = f"<li data-a={long} data-b={q}{long}{q} class={q}card{q} data-c={long}>"
+        assert found(spark, f"<p {long}>a</p>{tag}b</li>", ".other", ".card", "[data-x=y]") == [f"{tag}b</li>"]
+        df = spark.createDataFrame([(f"{tag}b</li><a data-a={long} href={q}/x{q}>",)], "html string")
+        inner, link = dims.class_pattern(".other", ".card"), dims.attr_pattern("a", "href")
+        row = df.select(F.regexp_extract("html", inner, 2), F.regexp_extract("html", link, 2)).first()
+        assert tuple(row) == ("b", "/x")
+
+
 def test_comments_scripts_and_odd_tags(spark):
     html = (
         '<!-- <div class="card">no</div> --><div class="card"><script>if (a < b) "</div>"</script>'
