@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import round_half_even
+from ..session import stored
 from .filters import seen_since
 from .scoring import with_pricing
 
@@ -15,21 +16,30 @@ _DIMENSIONS = ["sport", "brand", "retailer"]
 def deals_summary(deals: DataFrame, order: str = "seq", top: int = 5) -> DataFrame:
     """One row: counts, averages and the most frequent sports, brands and retailers.
 
-    One scan: grouping sets give the totals and the three frequency tables
-    together. Ties in frequency go to the value seen first in ``order``.
+    Deals are counted by all three together in one scan; grouping sets of these counts give the
+    totals and the three frequency tables. Ties in frequency go to the value seen first in ``order``.
+    The least text is no hash aggregate, so a text ``order`` is read in a second scan, and
+    only of the values that tie.
     """
+    text = dict(deals.dtypes)[order] == "string"
     priced = with_pricing(deals).withColumn("brand", F.nullif("brand", F.lit("")))
-    grouped = priced.groupingSets(
-        [[], ["sport"], ["brand"], ["retailer"]], *_DIMENSIONS
-    ).agg(
-        F.grouping_id().alias("gid"),
+    counted = priced.groupBy(*_DIMENSIONS).agg(
         F.count(F.lit(1)).alias("n"),
-        F.min(order).alias("first_at"),
         F.count_if("youth_flag").alias("youth"),
         F.count_if("in_stock").alias("stocked"),
         F.count_if(F.col("coupon_code") != "").alias("coupons"),
-        F.avg("discount_pct").alias("pct"),
+        F.sum("discount_pct").alias("pct"),
+        F.count("discount_pct").alias("n_pct"),
         F.sum("price").alias("paid"),
+        *([] if text else [F.min(order).alias("first_at")]),
+    )
+    grouped = counted.groupingSets(
+        [[], ["sport"], ["brand"], ["retailer"]], *_DIMENSIONS
+    ).agg(
+        F.grouping_id().alias("gid"),
+        *[F.sum(c).alias(c) for c in ("n", "youth", "stocked", "coupons", "paid")],
+        F.try_divide(F.sum("pct"), F.sum("n_pct")).alias("pct"),
+        *([] if text else [F.min("first_at").alias("first_at")]),
     )
     # Bit set in gid = column not grouped: 3 sport, 5 brand, 6 retailer, 7 total.
     named = grouped.withColumn(
@@ -37,12 +47,11 @@ def deals_summary(deals: DataFrame, order: str = "seq", top: int = 5) -> DataFra
         F.when(F.col("gid") == 3, "sport").when(F.col("gid") == 5, "brand")
         .when(F.col("gid") == 6, "retailer").otherwise("total"),
     ).withColumn("key", F.coalesce(*_DIMENSIONS))
+    named = named.filter(F.col("key").isNotNull() | (F.col("dimension") == "total")).drop(*_DIMENSIONS)
+    if text:
+        named = _with_first(named, priced, order, top)
     w = Window.partitionBy("dimension").orderBy(F.col("n").desc(), F.col("first_at").asc())
-    best = (
-        named.filter(F.col("key").isNotNull() | (F.col("dimension") == "total"))
-        .withColumn("rank", F.row_number().over(w))
-        .filter(F.col("rank") <= top)
-    )
+    best = named.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
     total = F.col("dimension") == "total"
 
     def of_total(name: str):
@@ -78,6 +87,20 @@ def deals_summary(deals: DataFrame, order: str = "seq", top: int = 5) -> DataFra
     )
 
 
+def _with_first(named: DataFrame, deals: DataFrame, order: str, top: int) -> DataFrame:
+    """The values that can be among the ``top`` of their dimension, with ``first_at`` where their count ties."""
+    by_count = Window.partitionBy("dimension").orderBy(F.col("n").desc())
+    leading = stored(named.withColumn("_place", F.rank().over(by_count)).filter(F.col("_place") <= top).drop("_place"), "leading")
+    tied = leading.withColumn("_same", F.count(F.lit(1)).over(Window.partitionBy("dimension", "n"))).filter(F.col("_same") > 1)
+    tied = stored(tied.select("dimension", "key"), "tied")
+    if tied.isEmpty():
+        return leading.withColumn("first_at", F.lit(None).cast("string"))
+    values = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("key")) for d in _DIMENSIONS])
+    met = deals.select(order, F.inline(values)).join(tied, ["dimension", "key"])
+    first = met.groupBy("dimension", "key").agg(F.min(order).alias("first_at"))
+    return leading.join(first, ["dimension", "key"], "left")
+
+
 def retailer_stats(deals: DataFrame) -> DataFrame:
     return (
         with_pricing(deals)
