@@ -3,8 +3,9 @@
 from conftest import deal
 from pyspark.sql import functions as F
 
+from dealgrove import session
 from dealgrove.functions import sizes
-from dealgrove.operators import aggregates, dedup, ranking
+from dealgrove.operators import aggregates, dedup, joins, ranking
 from dealgrove.plans import sample
 
 
@@ -80,3 +81,14 @@ def test_deduplicate_reads_its_deals_once(spark, make_deals, tmp_path):
     merged = dedup.deduplicate(spark.read.parquet(path))
     assert path not in merged._jdf.queryExecution().optimizedPlan().toString() and path not in str(merged.inputFiles())
     assert sorted((r["id"], r["group_size"]) for r in merged.collect()) == [("d2", 2), ("d3", 1)]
+
+
+def test_stored_tables_are_not_sent_through_the_driver(spark):
+    """Files of a few kilobytes hold rows of many megabytes; rows of a generator have no size of their own."""
+    rows = session.stored(spark.range(20_000).select("id", F.repeat(F.lit("x"), F.lit(2_000)).alias("text")), "rows")
+    plan = spark.range(10).join(rows.filter("id > 5").groupBy("id").agg(F.max("text")), "id")
+    assert "Broadcast" not in plan_of(plan)
+    many = spark.range(5).select("id", F.explode(F.sequence(F.lit(1), F.lit(50))).alias("n"))
+    shown = joins.sliced_join(many, many.withColumnRenamed("n", "m"), ["id"])
+    assert "SortMergeJoin" in plan_of(shown)
+    assert shown.count() == 5 * 50 * 50
